@@ -79,10 +79,16 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return h
 
 
+_TABLES: dict[int, np.ndarray] = {}
+
+
 def power_table(n: int, base: int) -> np.ndarray:
-    out = np.full(n + 1, U(base))
-    out[0] = U(1)
-    return np.cumprod(out, dtype=U)
+    """Powers 0 .. n of base; the longest so far is kept."""
+    if base not in _TABLES or len(_TABLES[base]) <= n:
+        out = np.full(max(n, 1 << 16) + 1, U(base))
+        out[0] = U(1)
+        _TABLES[base] = np.cumprod(out, dtype=U)
+    return _TABLES[base][: n + 1]
 
 
 class Ranges:
@@ -104,21 +110,12 @@ class Ranges:
 
 
 def leftmost_min(h: np.ndarray, w: int) -> np.ndarray:
-    """For each window of w values the place of its leftmost smallest one."""
-    n = len(h) - w + 1
-    if n <= 0:
+    """For each window of w values the place of the leftmost of those whose upper halves are smallest."""
+    if len(h) < w:
         return np.empty(0, np.int64)
-    v, p, have = h, np.arange(len(h), dtype=np.int32), 1
+    v, have = (h & U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=U), 1
     while have < w:
         step = min(have, w - have)
-        a, b = v[:-step], v[step:]
-        right = b < a
-        p = np.where(right, p[step:], p[:-step])
-        v = np.where(right, b, a)
+        v = np.minimum(v[:-step], v[step:])
         have += step
-    return p
-
-
-def doc_of(counts_before: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """The text to which each place belongs, given how many places stand before each text."""
-    return np.searchsorted(counts_before, places, side="right") - 1
+    return (v & U(0xFFFFFFFF)).view(np.int64)
