@@ -4,6 +4,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +48,17 @@ def words(text: Column) -> Column:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def id_bitmap(ids: DataFrame, column: str = "doc_id", bits: int = 1 << 24) -> np.ndarray:
+    """A bitmap with the bit ``id mod bits`` of every id: 2 MB, however many there are.  Ids whose bit is 0 are surely none."""
+    rows = ids.selectExpr(f"pmod({column}, {bits}) AS at").selectExpr("shiftright(at, 6) AS w", "shiftleft(1L, CAST(at & 63 AS INT)) AS b").groupBy("w").agg(F.bit_or("b").alias("b"))
+    out = np.zeros(bits // 64, np.int64)
+    for r in rows.toLocalIterator():
+        out[r.w] = r.b
+    return out
+
+
+def in_bitmap(ids: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    at = np.mod(ids, 64 * len(bitmap))
+    return (bitmap[at >> 6] >> (at & 63)) & 1 == 1

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import id_bitmap, in_bitmap
 from ._vec import BYTE_VALUES, Ranges, leftmost_min, mix, pack, word_hashes, word_spans
 
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -161,6 +162,20 @@ def judge(dealt: DataFrame, n: int) -> DataFrame:
     return own.mapInArrow(stream, FACTOR)
 
 
+def open_texts(docs: DataFrame, factors: DataFrame, *columns: str) -> DataFrame:
+    """doc_id, text and the columns of each document's factors, as arrays; documents without any go, most by a bitmap
+    of bounded size before the shuffle."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(id_bitmap(factors.select("doc_id").distinct()))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(batch.column(0).to_numpy(zero_copy_only=False), bitmap.value)))
+
+    own = factors.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("f"))
+    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(each, "doc_id long, text string")
+    return texts.join(own, "doc_id").select("doc_id", "text", *[f"f.{c}" for c in columns])
+
+
 def with_factors(docs: DataFrame, factors: DataFrame) -> DataFrame:
     """Each document with starts, ns, ref_docs and ref_starts of its factors, in order of start."""
     own = factors.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "n", "ref_doc", "ref_start"))).alias("f"))

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination as dec
+from . import ngram_join as nj
 from . import pii
 from . import quality_rules as qr
 from . import rlz_dedup as rlz
@@ -28,6 +29,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", *counts, F.sha2(pii.written(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nj.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = rlz.rlz_dedup(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), F.size("factors").alias("n_factors"))
@@ -38,5 +43,5 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_rlz_dedup, op7_decontamination, op8_pii, op9_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_ngram_join, op5_rlz_dedup, op7_decontamination, op8_pii, op9_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}

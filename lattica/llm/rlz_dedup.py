@@ -17,10 +17,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ._common import shuffle_parts, stage
-from ._repeats import RUN, _dealt, chunks, covered, joined, judge, lists, runs, with_factors, word_symbols
+from ._repeats import RUN, _dealt, chunks, covered, joined, judge, lists, open_texts, runs, with_factors, word_symbols
 from ._vec import Ranges, word_spans
 
 
@@ -52,9 +51,7 @@ def factors(docs: DataFrame, width: int = 20, k: int = 6) -> DataFrame:
     """doc_id, start, n, ref_doc, ref_start: windows that stand earlier, by smaller doc_id or earlier place."""
     n = shuffle_parts(docs.sparkSession)
     first = stage(judge(runs(docs, word_symbols, width, k), n))
-    open_ = first.where("kind = 2").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("f"))
-    open_ = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").join(open_, "doc_id").select("doc_id", "text", "f.start", "f.n")
-    second = judge(_window_runs(open_, width), n)
+    second = judge(_window_runs(open_texts(docs, first.where("kind = 2"), "start", "n"), width), n)
     return first.where("kind = 1").unionByName(second.where("kind = 1")).select("doc_id", "start", "n", "ref_doc", "ref_start")
 
 

@@ -2,8 +2,8 @@
 
 Windows are dealt to shards by their anchor (see ``_repeats``), so equal ones meet; contexts that repeat whole are told
 there.  The rest, contexts that share an anchor but differ, are sorted: each shard writes them to a file, and
-``InducedSorter`` orders its suffixes.  Suffixes that start a descent-then-ascent (LMS) are named and ranked in a
-recursion on the string of names; then two scans induce the order of all others.  What is induced waits in one queue per
+``InducedSorter`` orders its suffixes.  Suffixes that start a descent-then-ascent (LMS) are named and ranked by
+doubling on the string of names, which takes the place of deeper recursion; then two scans induce the order of all others.  What is induced waits in one queue per
 leading symbol, together with its common prefix with the queue's previous entry: 1 more than the least common prefix
 met since then in the scan.  Queues hold a bounded number of entries in memory and the rest in files, read back in order,
 so a shard needs memory for its LMS suffixes only.  Prefixes count up to the width, as longer ones change nothing.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import shuffle_parts, stage
-from ._repeats import byte_symbols, chunks, covered, joined, judge, lists, runs, with_factors
+from ._repeats import byte_symbols, chunks, covered, joined, judge, lists, open_texts, runs, with_factors
 
 
 class Store:
@@ -263,8 +263,7 @@ def factors(docs: DataFrame, width: int = 100, k: int = 32) -> DataFrame:
     """doc_id, start, n: windows (bytes) that stand earlier, by smaller doc_id or earlier place."""
     n = shuffle_parts(docs.sparkSession)
     first = stage(judge(runs(docs, byte_symbols, width, k), n))
-    open_ = first.where("kind = 2").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "n", "anchor"))).alias("f"))
-    open_ = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").join(open_, "doc_id").select("doc_id", "text", "f.start", "f.n", "f.anchor")
+    open_ = open_texts(docs, first.where("kind = 2"), "start", "n", "anchor")
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryDirectory() as folder:
