@@ -5,7 +5,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination as dec
+from . import lm_score as lm
 from . import ngram_join as nj
+from . import packing as pk
 from . import pii
 from . import quality_rules as qr
 from . import rlz_dedup as rlz
@@ -18,6 +20,16 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pk.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = dec.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return d.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated", "n_near")
@@ -29,6 +41,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", *counts, F.sha2(pii.written(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nj.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -43,5 +59,5 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_ngram_join, op5_rlz_dedup, op7_decontamination, op8_pii, op9_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_lm_score, op4_ngram_join, op5_rlz_dedup, op6_packing, op7_decontamination, op8_pii, op9_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}
