@@ -172,10 +172,10 @@ def train(counts: list[tuple[tuple[int, ...], int, float]], rounds: int = 300, r
     return w
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, _text, the four base arrays, _base (all, sorted) and _found (candidates)."""
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
-    d = d.select("doc_id", "_text", *[c.alias(k) for k, c in base_spans(F.col("_text")).items()])
+def _with_spans(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, the columns to keep, _text, the four base arrays, _base (all, sorted) and _found (candidates)."""
+    d = docs.select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("_text"))
+    d = d.select("doc_id", *keep, "_text", *[c.alias(k) for k, c in base_spans(F.col("_text")).items()])
     d = d.withColumn("_base", F.sort_array(F.concat("email", "ip", "card", "phone")))
     return d.withColumn("_found", candidates(F.col("_text"), F.col("_base")))
 
@@ -194,13 +194,13 @@ def _score(c: Column, w: list[float]) -> Column:
     return z + F.element_at(F.array(F.lit(0.0), *[F.lit(x) for x in w[3 + 2 * n:]]), (c["shape"] % 4 + 1).cast("int"))
 
 
-def find_private(docs: DataFrame, weights: list[float] | None = None) -> DataFrame:
+def find_private(docs: DataFrame, weights: list[float] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, the base arrays, base and spans: arrays of (start, kind as a number of KINDS, end), sorted."""
     weights = fit(docs) if weights is None else weights
-    d = _with_spans(docs)
+    d = _with_spans(docs, *keep)
     more = F.filter("_found", lambda c: _score(c, weights) > 0)
     extra = F.transform(more, lambda c: F.struct(c["start"].alias("start"), F.when(c["digits"], KINDS.index("account")).otherwise(KINDS.index("secret")).alias("kind"), c["end"].alias("end")))
-    return d.select("doc_id", F.col("_text").alias("text"), "email", "ip", "card", "phone", F.col("_base").alias("base"), F.sort_array(F.concat("_base", extra)).alias("spans"))
+    return d.select("doc_id", *keep, F.col("_text").alias("text"), "email", "ip", "card", "phone", F.col("_base").alias("base"), F.sort_array(F.concat("_base", extra)).alias("spans"))
 
 
 def written(spans: Column) -> Column:

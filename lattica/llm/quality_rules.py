@@ -169,10 +169,10 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, max_labelled: int) -> list
     return [r.asDict() for r in got.collect()]
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, **options) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, keep: tuple[str, ...] = (), **options) -> DataFrame:
     """One row per document: the statistics, base_failed, the number of the rule that rejects it (or null) and kept."""
     rules = learn_rules(labelled_rows(docs, labels, max_labelled), **options)
-    d = statistics(docs).withColumn("base_failed", base_failed()).withColumns({k: f() for k, f in ((k, lambda k=k: F.when(F.col("n_words") > 0, FEATURES[k]())) for k in FEATURES)})
+    d = statistics(docs, *keep).withColumn("base_failed", base_failed()).withColumns({k: f() for k, f in ((k, lambda k=k: F.when(F.col("n_words") > 0, FEATURES[k]())) for k in FEATURES)})
     verdict = F.lit(None).cast("int")
     for i, rule in reversed(list(enumerate(rules))):
         verdict = F.when(rule.column(), F.lit(i)).otherwise(verdict)

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination as dec
+from . import language_id as li
 from . import lm_score as lm
 from . import ngram_join as nj
 from . import packing as pk
@@ -12,22 +13,28 @@ from . import pii
 from . import quality_rules as qr
 from . import rlz_dedup as rlz
 from . import suffix_dedup as sd
+from . import toxicity as tx
 from ._common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return li.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents")).drop("posterior")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qr.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
-def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+def tokenizer(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
+    """Ranks of the vocabulary byte_bpe_50k, and its pattern."""
     import public_tokenizers
 
-    return public_tokenizers.path(name)
+    return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pk.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pk.pack(table(spark, sf_dir, "documents"), *tokenizer())
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,5 +66,16 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_lm_score, op4_ngram_join, op5_rlz_dedup, op6_packing, op7_decontamination, op8_pii, op9_suffix_dedup)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tx.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_language_id, op2_quality_rules, op3_lm_score, op4_ngram_join, op5_rlz_dedup, op6_packing, op7_decontamination, op8_pii, op9_suffix_dedup, op10_toxicity, pipeline)}
 ORACLE_SQL: dict[str, str] = {}
