@@ -130,7 +130,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], float]], rounds: int = 60) ->
     rates: list[tuple[float, float]] = []
     prior = 0.5
     for _ in range(rounds):
-        prior = min(max(sum(n * post[v] for v, n in patterns) / total, 0.01), 0.99)
+        prior = min(max(sum(n * post[v] for v, n in patterns) / total, 0.01), 0.5)  # no vote, no reason
         rates = []
         for k in range(len(LABELERS)):
             def rate(weight, k=k):
