@@ -163,7 +163,8 @@ def test_lm(spark, docs, empty):
 
 def test_filter_counts(spark):
     words = [f"t{i}" for i in range(200) for _ in range(1 + i)]
-    d = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    trained = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 7 != 2)
+    d = spark.createDataFrame([(trained, " ".join(words))], "doc_id long, text string")
     model, table = lm_score.fit(d, bits=1 << 20)
     exact = {np.uint64(r.key & (2**64 - 1)): r.n for r in table.collect()}
     keys = np.array(list(exact), np.uint64)
