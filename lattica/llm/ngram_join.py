@@ -11,9 +11,10 @@ list certain.  Lists stand in order of set size and are skipped through in block
 for its head.
 
 *Answers.* In a block all sets are compared with its head, not with each other: those that match it have its answers,
-their component.  What is left are pairs of one list whose components still differ.  They are derived from the answers
+their component.  Lists that hold several components get further heads while these join much.  What is left are pairs of
+one list whose components still differ.  They are derived from the answers
 of the heads: distance (1 - similarity) is a metric, so a pair is skipped if its distances from a common head differ by
-more than 0.2; all others are compared.
+more than 0.2, or if parity sketches of the sets differ in more bits than sets so similar can; all others are compared.
 
 Every comparison is exact on whole sets of 64-bit shingle hashes.  No list, block or partner count is capped.
 
@@ -38,6 +39,8 @@ WORDS = 5
 SHARE = 80
 #: Counts above this are taken as equal; bounds what a task holds of one list.
 LONG = 4096
+#: Bits of a set's sketch.
+SKETCH = 1024
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +77,22 @@ def need(n: np.ndarray) -> np.ndarray:
 
 
 def _level(n: np.ndarray) -> np.ndarray:
-    return np.maximum(1, n // 10)
+    """How many of the dealt hashes a pair shares at least: more are dealt (half of a set), and sets with fewer common ones go."""
+    return np.maximum(1, 3 * n // 10)
+
+
+def sketches(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """SKETCH bits of each set, as rows of 64-bit numbers: bit b is the parity of the hashes that fall on b.  Sketches differ
+    in no more bits than the sets in hashes."""
+    n = len(at) - 1
+    of = np.repeat(np.arange(n), np.diff(at))
+    out = np.zeros((n, SKETCH // 64), np.int64)
+    for a in range(0, n, 1024):  # so many sets at a time
+        b = min(n, a + 1024)
+        own = slice(at[a], at[b])
+        odd = np.bincount((of[own] - a) * SKETCH + (values[own] % U(SKETCH)).astype(np.int64), minlength=(b - a) * SKETCH) & 1
+        out[a:b] = np.packbits(odd.astype(np.uint8).reshape(b - a, SKETCH), axis=1).view(np.int64)
+    return out
 
 
 def _digests(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -149,8 +167,8 @@ def _rarest(shared: DataFrame, standing_for: DataFrame) -> DataFrame:
     """The lists that each set enters: (token, doc_id, n).  standing_for: (doc_id, first) names each set by its first document."""
     n = F.col("n").cast("long")
     least = F.ceil(n * SHARE / 100)
-    dealt = F.least(n, n - least + F.greatest(F.lit(1), F.floor(n / 10)))
-    common = F.greatest(F.lit(1), F.floor(least / 10))
+    dealt = F.least(n, n - least + F.greatest(F.lit(1), F.floor(3 * n / 10)))
+    common = F.greatest(F.lit(1), F.floor(3 * least / 10))
     each = shared.groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
     enter = (F.size("t") - common + 1).cast("int")  # unique tokens, which stand first, are skipped
     each = each.where(enter > 0).select("doc_id", "n", F.slice("t", F.lit(1), enter).alias("t")).join(standing_for, "doc_id")
@@ -200,9 +218,9 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             own = batch.filter(pa.array(in_bitmap(batch.column(0).to_numpy(zero_copy_only=False), bitmap.value)))
             for ids, buf, offs, _ in chunks(own):
                 values, at = shingle_sets(buf, offs)
-                yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))], names=["doc_id", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64))), pa.array(list(sketches(values, at)), pa.list_(pa.int64()))], names=["doc_id", "hashes", "sketch"])
 
-    sets = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(each, "doc_id long, hashes array<long>")
+    sets = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(each, "doc_id long, hashes array<long>, sketch array<long>")
     return sets.join(wanted, "doc_id", "left_semi")
 
 
@@ -219,24 +237,58 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     known = stage(_compared(pairs, sets))
     links = known.where(_linked()).select("a", "b")
     label = stage(components(links))
-    fresh = stage(_compared(_open_pairs(headed, known, label, sets), sets).where(_linked()).select("a", "b"))
+    again = 0
+    while True:  # other heads, as long as they join much: a large group is connected before its pairs are looked at
+        m = _mixed(headed, known, label, sets)
+        fresh = stage(_compared(_other_heads(m, again), sets).where(_linked()).select("a", "b"))
+        found, open_ = fresh.count(), m.select("doc_id").distinct().count()
+        if found:
+            label = stage(components(label.select(F.col("v").alias("a"), F.col("component").alias("b")).unionByName(fresh)))
+        again += 1
+        if 20 * found < open_ or not open_:
+            break
+    fresh = stage(_compared(_open_pairs(_mixed(headed, known, label, sets), known), sets).where(_linked()).select("a", "b"))
     if not fresh.isEmpty():
-        label = stage(components(links.unionByName(fresh)))
+        label = stage(components(label.select(F.col("v").alias("a"), F.col("component").alias("b")).unionByName(fresh)))
     top = label.select(F.col("v").alias("doc_id"), "component")
     by_set = first.join(top, "doc_id", "left").select("sid", F.coalesce("component", "doc_id").alias("component"))
     return own.join(by_set, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), "sid", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _open_pairs(headed: DataFrame, known: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of one list in different components which sizes and distances from heads don't rule out."""
-    size = sets.select("doc_id", F.size("hashes").alias("n"))
-    mixed = headed.join(label.select(F.col("v").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    lists = mixed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    m = mixed.join(lists, "token").join(known.select(F.col("a").alias("head"), F.col("b").alias("doc_id"), (1 - F.col("both") / F.col("either")).alias("far")), ["head", "doc_id"], "left").join(size, "doc_id")
-    m = stage(m.select("token", "head", "doc_id", "component", "n", F.coalesce("far", F.lit(0.0)).alias("far")))
-    x, y = (m.select("token", *[F.col(c).alias(f"{k}_{c}") for c in ("head", "doc_id", "component", "n", "far")]) for k in "xy")
+def _mixed(headed: DataFrame, known: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
+    """The lists that hold several components: (token, head, doc_id, component, n, far, sketch); far: distance from the head."""
+    size = sets.select("doc_id", F.size("hashes").alias("n"), "sketch")
+    rows = headed.join(label.select(F.col("v").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    lists = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
+    far = known.select(F.col("a").alias("head"), F.col("b").alias("doc_id"), (1 - F.col("both") / F.col("either")).alias("far"))
+    m = rows.join(lists, "token").join(far, ["head", "doc_id"], "left").join(size, "doc_id")
+    return stage(m.select("token", "head", "doc_id", "component", "n", F.coalesce("far", F.lit(0.0)).alias("far"), "sketch"))
+
+
+def _sides(m: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    x, y = (m.select("token", *[F.col(c).alias(f"{k}_{c}") for c in ("doc_id", "component", "n", "sketch", *columns)]) for k in "xy")
+    return x, y
+
+
+def _possible() -> Column:
+    """Different components, and neither sizes nor sketches rule a link out."""
+    differ = sum((F.bit_count(F.get("x_sketch", F.lit(i)).bitwiseXOR(F.get("y_sketch", F.lit(i)))) for i in range(1, SKETCH // 64)), F.bit_count(F.get("x_sketch", F.lit(0)).bitwiseXOR(F.get("y_sketch", F.lit(0)))))
+    sizes = 100 * F.least("x_n", "y_n") >= SHARE * F.greatest("x_n", "y_n")
+    return (F.col("x_component") != F.col("y_component")) & sizes & ((100 + SHARE) * differ <= (100 - SHARE) * (F.col("x_n") + F.col("y_n")))
+
+
+def _other_heads(m: DataFrame, again: int) -> DataFrame:
+    """One more head for each list, in pseudo-random turn, with the sets it may be linked to."""
+    turn = F.xxhash64("token", "doc_id", F.lit(again))
+    row = F.struct(*[F.col(c) for c in ("doc_id", "component", "n", "sketch")])
+    head = m.groupBy("token").agg(F.min_by(row, turn).alias("x")).select("token", *[F.col(f"x.{c}").alias(f"x_{c}") for c in ("doc_id", "component", "n", "sketch")])
+    return head.join(_sides(m)[1], "token").where(_possible()).select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
+
+
+def _open_pairs(m: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of one list in different components which sizes, sketches and distances from heads don't rule out."""
+    x, y = _sides(m, "head", "far")
     apart = 1 - SHARE / 100 + 1e-9
-    ok = (F.col("x_doc_id") < F.col("y_doc_id")) & (F.col("x_component") != F.col("y_component")) & (100 * F.least("x_n", "y_n") >= SHARE * F.greatest("x_n", "y_n"))
-    ok = ok & ((F.col("x_head") != F.col("y_head")) | (F.abs(F.col("x_far") - F.col("y_far")) <= apart))
-    pairs = x.join(y, "token").where(ok).select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct()
+    near = (F.col("x_head") != F.col("y_head")) | (F.abs(F.col("x_far") - F.col("y_far")) <= apart)
+    pairs = x.join(y, "token").where((F.col("x_doc_id") < F.col("y_doc_id")) & near & _possible()).select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct()
     return pairs.join(known.select("a", "b"), ["a", "b"], "left_anti").join(known.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
