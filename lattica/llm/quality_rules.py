@@ -164,9 +164,11 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, max_labelled: int) -> list
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
         .orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(max_labelled)
     )
-    stats = statistics(docs.select("doc_id", "text").join(F.broadcast(own), "doc_id"), "quality").where(~base_failed())
-    got = stats.select("doc_id", (F.col("quality") == 0).cast("int").alias("bad"), *[f().alias(k) for k, f in FEATURES.items()])
-    return [r.asDict() for r in got.collect()]
+    stats = statistics(docs.select("doc_id", "text").join(F.broadcast(own), "doc_id"), "quality")
+    features = [F.when(F.col("n_words") > 0, f()).alias(k) for k, f in FEATURES.items()]
+    got = stats.select("doc_id", (F.col("quality") == 0).cast("int").alias("bad"), *features, base_failed().alias("_failed"))
+    # a filter here would be pushed below the statistics and compute them twice
+    return [{k: v for k, v in r.asDict().items() if k != "_failed"} for r in got.collect() if not r._failed]
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, keep: tuple[str, ...] = (), **options) -> DataFrame:
