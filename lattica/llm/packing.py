@@ -7,8 +7,9 @@ as it can be.  Then actual lengths take the slots of their group, which leaves r
 lengths fill the room, largest first, each into the sequence with the least room that still takes it.  Sequences of
 equal content are kept as runs, so the plan's size depends on lengths and configurations only.
 
-Documents get their place by their rank among those of equal length.  Ranks are counted in two levels (salted by id),
-so a hot length is no one task's work.
+Documents get their place by their rank among those of equal length.  Ranks are counted in two levels (salted by id, the
+more the hotter a length is), so a hot length is no one task's work; the sizes of the salts, no more in number than
+lengths and tasks, are added up on the driver.
 
 Nulls: a null or empty text has the end token only.  Every row is packed, repeated ones too.
 """
@@ -270,33 +271,45 @@ class Plan:
         return {x: tuple(np.array(c, np.int64) for c in zip(*rows)) for x, rows in out.items()}
 
 
-def _ranked(cut: DataFrame, salts: int) -> DataFrame:
-    """Adds rank among rows of equal length, from 0, by (salt, doc_id, piece)."""
-    d = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = d.groupBy("length", "salt").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
-    return d.withColumn("own", own).join(sizes, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("own")).drop("salt", "own", "before")
+def _salted(cut: DataFrame, histogram: dict[int, int], groups: int) -> DataFrame:
+    """Adds salt: rows of one length are dealt to as many salts as their share of ``groups``, one at least.  In all there are
+    no more pairs of length and salt than lengths and groups."""
+    total = max(1, sum(histogram.values()))
+    salts = cut.sparkSession.createDataFrame([(x, -(-n * groups // total)) for x, n in histogram.items()], "length long, salts int")
+    return cut.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), "salts").cast("int")).drop("salts")
+
+
+def _before(salted: DataFrame) -> dict[int, np.ndarray]:
+    """length -> rows of smaller salts, by salt."""
+    counts: dict[int, dict[int, int]] = {}
+    for r in salted.groupBy("length", "salt").count().collect():
+        counts.setdefault(r.length, {})[r.salt] = r["count"]
+    return {x: np.cumsum([0] + [own.get(i, 0) for i in range(max(own))]) for x, own in counts.items()}
 
 
 def pack(docs: DataFrame, ranks: str, pattern: str, capacity: int = CAPACITY, n_groups: int = 200, small: int = 600) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
     cut = stage(pieces(docs, ranks, pattern, capacity))
-    plan = Plan({r.length: r["count"] for r in cut.groupBy("length").count().collect()}, capacity, n_groups, small)
-    slots = docs.sparkSession.sparkContext.broadcast(plan.slots())
+    histogram = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}
+    salted = _salted(cut, histogram, 4 * shuffle_parts(docs.sparkSession))
+    context = docs.sparkSession.sparkContext
+    slots = context.broadcast(Plan(histogram, capacity, n_groups, small).slots())
+    before = context.broadcast(_before(salted))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, r = (batch.column(i).to_numpy() for i in (3, 5))
+            x, salt, r = (batch.column(i).to_numpy() for i in (3, 5, 6))
             sequence, offset = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
             for own in np.unique(x):
                 at = np.flatnonzero(x == own)
                 rank, first, k, off = slots.value[int(own)]
-                i = np.searchsorted(rank, r[at], side="right") - 1
-                since = r[at] - rank[i]
+                own_rank = before.value[int(own)][salt[at]] + r[at]
+                i = np.searchsorted(rank, own_rank, side="right") - 1
+                since = own_rank - rank[i]
                 sequence[at] = first[i] + since // k[i]
                 offset[at] = off[i] + since % k[i] * own
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = _ranked(cut, 4 * shuffle_parts(docs.sparkSession)).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long"))
+    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
+    ranked = salted.select("doc_id", "piece", "start", "length", "ids_crc32", "salt", rank.cast("long"))
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
