@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import stage
+from ._repeats import chunks
 from ._vec import LOWER, pack, word_hashes, word_spans
 from .toxicity import APART
 
@@ -67,17 +68,18 @@ def _read(pages: DataFrame, langs: list[str], logs: np.ndarray, temper: float) -
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            html = [x or "" for x in batch.column(2).to_pylist()]
-            h, at = features([_ENTITY.sub(" ", _HIDDEN.sub(" ", x)) for x in html])
-            total = np.concatenate([np.zeros((1, len(langs))), np.cumsum(shared.value[h], axis=0, dtype=np.float64)]) if len(h) else np.zeros((1, len(langs)))
-            z = total[at[1:]] - total[at[:-1]]
-            z *= temper * np.minimum(1, 60 / np.maximum(np.diff(at), 1) * np.sqrt(np.maximum(np.diff(at), 1) / 60))[:, None]
-            e = np.exp(z - z.max(1, keepdims=True)) if len(z) else z
-            e /= e.sum(1, keepdims=True)
-            declared = [m[1].lower() if (m := _DECLARED.search(x)) else None for x in html]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(declared, pa.string()), pa.array(e.tolist(), pa.list_(pa.float64()))], names=["page_id", "url", "declared", "q"])
-
-    return pages.select("page_id", "url", "html").mapInArrow(each, "page_id long, url string, declared string, q array<double>")
+            for _, _, _, part in chunks(batch):  # so many bytes at a time
+                html = [x or "" for x in part.column(2).to_pylist()]
+                h, at = features([_ENTITY.sub(" ", _HIDDEN.sub(" ", x)) for x in html])
+                total = np.concatenate([np.zeros((1, len(langs))), np.cumsum(shared.value[h], axis=0, dtype=np.float64)]) if len(h) else np.zeros((1, len(langs)))
+                z = total[at[1:]] - total[at[:-1]]
+                z *= temper * np.minimum(1, 60 / np.maximum(np.diff(at), 1) * np.sqrt(np.maximum(np.diff(at), 1) / 60))[:, None]
+                e = np.exp(z - z.max(1, keepdims=True)) if len(z) else z
+                e /= e.sum(1, keepdims=True)
+                declared = [m[1].lower() if (m := _DECLARED.search(x)) else None for x in html]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(declared, pa.string()), pa.array(e.tolist(), pa.list_(pa.float64()))], names=["page_id", "url", "declared", "q"])
+
+    return pages.select(F.col("page_id").alias("doc_id"), "url", F.col("html").alias("text")).mapInArrow(each, "page_id long, url string, declared string, q array<double>")
 
 
 def _address(url: Column) -> dict[str, Column]:
