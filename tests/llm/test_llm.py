@@ -88,6 +88,14 @@ def test_pii(spark, docs, empty):
     assert pii.find_private(empty).count() == 0
 
 
+def test_pii_addresses_with_zero_parts(spark):
+    made = list(enumerate(["10.0.0.1", "0.0.0.0", "at 192.168.0.1, 255.255.255.0 and 8.8.8.8", "00.000.0.010", "10.0.0.256 0256.0.0.1 0.0.0"]))
+    d = pii.find_private(spark.createDataFrame(made, "doc_id long, text string"))
+    d = d.withColumns({"sha": F.sha2(pii.written(F.col("base")).cast("binary"), 256), **{f"n_{k}": F.size(k) for k in pii.KINDS[:4]}, "masked": pii.masked(F.col("text"), F.col("base"))})
+    assert rows(d, "n_email", "n_ip", "n_card", "n_phone", "sha") == {i: brute.pii(t) for i, t in made}
+    assert rows(d, "masked")[2] == ("at [IP], [IP] and [IP]",)
+
+
 def test_em_trusts_good_labelers():
     v = lambda *x: tuple(x) + (0,) * (len(pii.LABELERS) - len(x))
     post, rates, _ = pii.estimate([(v(1, 1, 1), 50), (v(-1, -1, 1), 50), (v(0, 0, 0, 0, 0, -1), 100)])
