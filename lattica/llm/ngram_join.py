@@ -176,13 +176,18 @@ def _rarest(shared: DataFrame, standing_for: DataFrame) -> DataFrame:
 
 
 def _heads(lists: DataFrame, parts: int) -> DataFrame:
-    """(token, head, doc_id): each block's head with the sets after it; the head with itself."""
+    """(token, head, doc_id, near): each block's head with the sets after it; the head with itself.  near: by its size the set
+    may be linked to the one before it in the list, which heads of blocks of one set can be too."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = head = limit = None
+        token = head = limit = last = None
         for batch in batches:
             t, d, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            out = np.empty(len(t), np.int64)
+            out, near = np.empty(len(t), np.int64), np.zeros(len(t), bool)
+            near[1:] = (t[1:] == t[:-1]) & (100 * n[:-1].astype(np.int64) >= SHARE * n[1:].astype(np.int64))
+            if len(t):
+                near[0] = t[0] == token and 100 * last >= SHARE * int(n[0])
+                last = int(n[-1])
             new = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
             for a, b in zip(new.tolist(), np.append(new[1:], len(t)).tolist()):
                 i = a
@@ -192,9 +197,9 @@ def _heads(lists: DataFrame, parts: int) -> DataFrame:
                     j = i + int(np.searchsorted(n[i:b], limit, side="right"))
                     out[i:j] = head
                     i = j
-            yield pa.RecordBatch.from_pydict({"token": t, "head": out, "doc_id": d})
+            yield pa.RecordBatch.from_pydict({"token": t, "head": out, "doc_id": d, "near": near})
 
-    return lists.repartition(parts, "token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(stream, "token long, head long, doc_id long")
+    return lists.repartition(parts, "token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(stream, "token long, head long, doc_id long, near boolean")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -232,7 +237,8 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     standing_for = own.join(first.withColumnRenamed("doc_id", "first"), "sid").select("doc_id", "first")
     headed = stage(_heads(_rarest(_shared(_dealt(docs), parts), standing_for), parts))
     pairs = headed.where("head <> doc_id").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
-    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    # whoever may have a partner by size: those of pairs, and heads of blocks of one set that are near the block before
+    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(headed.where("near").select("doc_id")).distinct())
     sets = stage(_whole_sets(docs, wanted))
     known = stage(_compared(pairs, sets))
     links = known.where(_linked()).select("a", "b")

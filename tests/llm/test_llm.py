@@ -122,6 +122,21 @@ def test_jaccard_at_the_threshold(spark):
     assert rows(ngram_join.jaccard_join(d), "n_shingles", "component_id") == brute.components(made)
 
 
+def test_jaccard_of_sets_that_head_blocks_alone(spark):
+    r = random.Random(11)
+    made = []
+    for _ in range(40):  # y and the larger z meet in lists of rare shingles, each headed by a small set that reaches y only
+        word = lambda: f"u{r.randint(0, 10**9)}"
+        y = [word() for _ in range(9)]
+        made += [" ".join(y), " ".join([*y, word()])]
+        made += [" ".join([*y[i: i + 5], *[word() for _ in range(3)]]) for i in range(5)]
+    made = list(enumerate(made))
+    d = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    want = brute.components(made)
+    assert all(want[i][1] == want[i + 1][1] for i in range(0, len(made), 7))
+    assert rows(ngram_join.jaccard_join(d), "n_shingles", "component_id") == want
+
+
 def test_components(spark):
     r = random.Random(1)
     links = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)]
