@@ -195,6 +195,22 @@ def test_filter_counts(spark):
     assert (np.abs(np.log2(est) - np.log2(true)) <= 1.01).mean() > 0.99 and model.v == 201
 
 
+def test_filter_grows_with_what_it_holds(spark, docs):
+    r = random.Random(9)
+    sizes = []
+    for words in (150_000, 600_000):
+        d = spark.createDataFrame([(i, " ".join(f"z{r.randint(0, 10**7)}" for _ in range(words // 20))) for i in range(20)], "doc_id long, text string")
+        model, _ = lm_score.fit(d)
+        sizes.append(len(model.words.bits))
+        assert 0.2 < model.words.fill < 0.5 and all(0.2 < x.fill < 0.5 for _, _, x in model.slices(1 << 16))
+    assert sizes[1] > 3 * sizes[0]
+    full = lm_score.Filter(np.full(lm_score.SEGMENTS, 255, np.uint8), np.arange(lm_score.SEGMENTS + 1, dtype=np.uint64) * np.uint64(8), 4, 3)
+    assert full.levels(np.array([1, 2**63], np.uint64)).tolist() == [3, 3]
+    one, many = (rows(lm_score.score(docs, slice_bits=b), "n_known", "base_score", "score") for b in (1 << 30, 1 << 17))
+    assert sum(1 for _ in lm_score.fit(docs)[0].slices(1 << 17)) > 1
+    assert all(one[i] == pytest.approx(many[i]) for i in one)
+
+
 def test_packing(spark, docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
