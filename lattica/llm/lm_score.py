@@ -3,8 +3,8 @@
 Counts of words and pairs of training texts are quantised to levels, 1 + floor(log2 c), and a filter holds (n-gram, 1) ..
 (n-gram, level).  There is one for words and one for pairs, both in 4096 segments; each segment is built by the task that
 gathers the n-grams of its share of hashes, with ``per_entry`` bits for each level of each n-gram that it turns out to
-hold, so the filters grow with the corpus and are equally full at any size.  Pairs seen less than
-``least_pairs`` times aren't held.  Scoring probes (n-gram, 1), (n-gram, 2) ... until one is missing or the highest level held is reached; the
+hold, so the filters grow with the corpus and are equally full at any size.  All pairs are held, unless ``least_pairs``
+says otherwise.  Scoring probes (n-gram, 1), (n-gram, 2) ... until one is missing or the highest level held is reached; the
 count is read as the middle of the last level found, 1.5 * 2**(level - 1), or 1 or 0.  Pair probabilities are smoothed with
 the word's (a Dirichlet prior of weight ``mu``), the word's by adding 1.
 
@@ -214,7 +214,7 @@ def _built(gathered: DataFrame, parts: int, bits: int | None, per_entry: int, ha
     return gathered.repartition(parts, "segment").sortWithinPartitions("segment", "word", "key").mapInArrow(stream, "segment int, word boolean, bits binary, top int, key long, n long")
 
 
-def fit(docs: DataFrame, bits: int | None = None, hashes: int = 4, least_pairs: int = 2, per_entry: int = 8) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, bits: int | None = None, hashes: int = 4, least_pairs: int = 1, per_entry: int = 8) -> tuple[Model, DataFrame]:
     """The filters, and the table (key, n) of words.  bits: a fixed size of each filter, whatever it holds."""
     built = stage(_built(_gathered(docs), shuffle_parts(docs.sparkSession), bits, per_entry, hashes, least_pairs))
     words = built.where("key IS NOT NULL").select("key", "n")

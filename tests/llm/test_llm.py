@@ -195,6 +195,24 @@ def test_filter_counts(spark):
     assert (np.abs(np.log2(est) - np.log2(true)) <= 1.01).mean() > 0.99 and model.v == 201
 
 
+def test_lm_holds_all_pairs(spark):
+    r = random.Random(8)
+    made = [(i, " ".join(f"q{r.randint(0, 60)}" for _ in range(r.randint(0, 80)))) for i in range(40)]
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    one, two, own = Counter(), Counter(), {}
+    for i, t in made:
+        own[i] = ["<", *t.split(), ">"]
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            one.update(own[i])
+            two.update(zip(own[i], own[i][1:]))
+    n = sum(c for w, c in one.items() if w != "<")
+    level = lambda c: c if c < 2 else 1.5 * 2 ** (int(c).bit_length() - 1)
+    p = lambda a, b: (level(two[a, b]) + 1000 * (level(one[b]) + 1) / (n + len(one))) / (level(one[a]) + 1000)
+    want = {i: sum(np.log10(min(p(a, b), 1)) for a, b in zip(w, w[1:])) for i, w in own.items()}
+    got = rows(lm_score.score(d, bits=1 << 24), "score")
+    assert all(abs(got[i][0] - want[i]) < 1e-6 for i in want)
+
+
 def test_filter_grows_with_what_it_holds(spark, docs):
     r = random.Random(9)
     sizes = []
