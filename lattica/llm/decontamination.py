@@ -1,8 +1,9 @@
 """Benchmark decontamination by a positional inverted index, in DataFrame expressions only.
 
 Every window of ``width`` words of a benchmark item (or the whole item, if shorter) is sought in every document.  The
-terms of the benchmark are counted over all documents; each window is entered under its rarest term, and only those
-terms are indexed: for each document the postings (positions) of such terms.  A posting moved back by the term's offset
+terms of the benchmark are counted over all documents; each window is entered under the terms of its rarest places, one
+place more than a proximity match may miss, so that any match agrees in one of them; terms of no document are sure
+misses.  Only those terms are indexed: for each document the postings (positions) of such terms.  A posting moved back by the term's offset
 in the window gives the one place where the window can start; there the words of the window are compared with those of
 the document.  All of them equal: a phrase match; at least ``near`` of them at their offsets: a proximity match.
 
@@ -43,11 +44,14 @@ def term_frequencies(docs: DataFrame, windows: DataFrame) -> DataFrame:
     return held.join(wanted, "term").groupBy("term").agg(F.count("*").alias("df"))
 
 
-def rarest_terms(windows: DataFrame, frequencies: DataFrame) -> DataFrame:
-    """term, and the windows entered under it: (item_id, offset of the term, window).  Windows with an absent term go."""
+def rarest_terms(windows: DataFrame, frequencies: DataFrame, near: float) -> DataFrame:
+    """term, and the windows entered under it: (item_id, offset of the term, window).  Of the places that suffice, those of
+    absent terms are left out; windows with more absent terms than a match may miss go."""
     each = windows.select("item_id", "window", F.posexplode("window").alias("offset", "term")).join(frequencies, "term", "left")
-    best = each.groupBy("item_id", "window").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "offset")).alias("b"))
-    return best.where(F.col("b.df") > 0).select(F.col("b.term").alias("term"), F.struct("item_id", F.col("b.offset").alias("offset"), "window").alias("entry")).groupBy("term").agg(F.collect_list("entry").alias("entries"))
+    places = each.groupBy("item_id", "window").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "offset"))).alias("p"))
+    enough = (F.size("window") - F.ceil(F.lit(float(near)) * F.size("window")) + 1).cast("int")
+    best = places.select("item_id", "window", F.explode(F.slice("p", F.lit(1), enough)).alias("b")).where(F.col("b.df") > 0)
+    return best.select(F.col("b.term").alias("term"), F.struct("item_id", F.col("b.offset").alias("offset"), "window").alias("entry")).groupBy("term").agg(F.collect_list("entry").alias("entries"))
 
 
 def _postings(docs: DataFrame, block: list[str]) -> DataFrame:
@@ -65,8 +69,8 @@ def matches(docs: DataFrame, entries: DataFrame, block: list[str], near: float)
 
     def checked(e: Column) -> Column:
         start, n = F.col("pos") - e["offset"], F.size(e["window"])
-        here = F.slice(F.col("words"), F.greatest(start, F.lit(0)) + 1, n)
-        agree = F.when(start >= 0, F.aggregate(F.zip_with(here, e["window"], lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))).otherwise(0)
+        same = F.transform(e["window"], lambda w, i: F.get(F.col("words"), start + i) == w)  # places beyond the document: null
+        agree = F.size(F.filter(same, lambda x: x))
         return F.struct(start.alias("start"), n.alias("length"), e["item_id"].alias("item_id"), (agree == n).alias("exact"), (agree >= near * n).alias("near"))
 
     found = F.filter(F.transform("entries", checked), lambda m: m["near"])
@@ -85,7 +89,7 @@ def _covered(spans: Column) -> Column:
 def decontamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, near: float = 0.8, block: int = 20_000, least_share: float = 0.05) -> DataFrame:
     """One row per document: n_words, n_hit, n_items, items (ids as sorted strings), n_near and contaminated."""
     windows = stage(item_windows(benchmark, width))
-    entries = stage(rarest_terms(windows, term_frequencies(docs, windows)))
+    entries = stage(rarest_terms(windows, term_frequencies(docs, windows), near))
     n_blocks = -(-entries.count() // block) or 1
     parts = []
     for b in range(n_blocks):

@@ -79,6 +79,32 @@ def test_decontamination(spark, docs, items, empty):
     assert rows(decontamination.decontamination(docs, b.where("false")), "n_hit", "contaminated") == {i: (0, False) for i, _ in awkward()}
 
 
+def test_decontamination_near_matches(spark):
+    r = random.Random(6)
+    items = [(i, " ".join(f"b{i}x{k}" if k % 3 else f"common{k % 5}" for k in range(r.choice([4, 5, 9, 13, 20])))) for i in range(30)]
+    made = []
+    for i in range(120):
+        w = r.choice(items)[1].split()
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(len(w))] = f"e{r.randint(0, 10**6)}"
+        if r.random() < 0.3:
+            w = w[r.randint(0, 3):]
+        made.append((i, " ".join([*["common1"] * r.randint(0, 3), *w, *["common2"] * r.randint(0, 3)])))
+    want = {}
+    for i, t in made:
+        w, hit = t.split(), set()
+        for k, x in items:
+            x = x.split()
+            for y in {tuple(x[s: s + 13]) for s in range(max(len(x) - 12, 1))}:
+                for s in range(-len(y), len(w)):
+                    agree = sum(0 <= s + j < len(w) and w[s + j] == y[j] for j in range(len(y)))
+                    if 0.8 * len(y) <= agree < len(y):
+                        hit.add(k)
+        want[i] = (len(hit),)
+    d, b = spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert rows(decontamination.decontamination(d, b, block=7), "n_near") == want and sum(x for x, in want.values()) > 20
+
+
 def test_pii(spark, docs, empty):
     d = pii.find_private(docs).withColumns({"sha": F.sha2(pii.written(F.col("base")).cast("binary"), 256), **{f"n_{k}": F.size(k) for k in pii.KINDS[:4]}, "masked": pii.masked(F.col("text"), F.col("spans"))})
     got = rows(d, "n_email", "n_ip", "n_card", "n_phone", "sha")
