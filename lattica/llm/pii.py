@@ -7,7 +7,9 @@ estimates each labeler's reliability and each pattern's posterior; a logistic cl
 on these posteriors and becomes one column expression.  Vote patterns are at most 3**6 times 12 shapes, whatever the
 corpus, so only such counts reach the driver.
 
-Nulls: a null text is empty and has no spans.  Every row is scored by itself, repeated ones too.
+Nulls: a null text is empty and has no spans.  Every row is scored by itself, repeated ones and those of a null id too; an
+empty table gives no rows.  A very long text is one row's work, in time that grows with its length and, but for a logarithm,
+its matches.  Columns of docs that aren't asked for by ``keep`` are not looked at, whatever their names.
 """
 from __future__ import annotations
 
@@ -27,26 +29,51 @@ CANDIDATE = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{12,}
 KINDS = ("email", "ip", "card", "phone", "secret", "account")
 
 
-def located(text: Column, pattern: str) -> Column:
-    """Non-overlapping matches from the left: structs of start, end (code points) and the string."""
+def running(values: Column, both, none: int = 0) -> Column:
+    """both(...both(both(v0, v1), v2)..., vi) at each place i, for sums and maxima of integers (none: what changes nothing).  In
+    as many passes as n has binary digits, each of which takes in twice the places before: no work grows with n squared."""
+    steps = F.slice(F.array(*[F.lit(1 << k) for k in range(31)]), F.lit(1), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)).cast("double"))).cast("int"))
+    return F.aggregate(steps, values, lambda a, by: F.transform(a, lambda v, i: both(v, F.when(i >= by, F.get(a, i - by)).otherwise(none))))
+
+
+def _max(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def located(text: Column, pattern: str, before: int = 0) -> Column:
+    """Non-overlapping matches from the left: structs of start, end (code points), the string m, and, if asked for, up to so
+    many characters in front of it (those at least that stand after the match before the last)."""
     parts, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def placed(both: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("out"))
+        size = F.transform(both["h"], lambda h, i: F.length(h) + F.length(F.get(both["p"], i)))
 
-        def step(a: Column, x: Column) -> Column:
-            start = a["at"] + F.length(x["p"])
-            end = start + F.length(x["h"])
-            return F.struct(end.cast("int").alias("at"), F.array_append(a["out"], F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), x["h"].alias("m"))).alias("out"))
+        def one(h: Column, i: Column, ends: Column) -> Column:
+            end = F.get(ends, i)
+            told = [(end - F.length(h)).alias("start"), end.alias("end"), h.alias("m")]
+            if before:
+                lead = [F.when(i >= k, F.get(both[c], i - k)).otherwise("") for k, c in ((2, "h"), (1, "p"), (1, "h"), (0, "p"))]
+                told.append(F.right(F.concat(*lead), F.lit(before)).alias("before"))
+            return F.struct(*told)
 
-        steps = F.transform(both["h"], lambda h, i: F.struct(F.get(both["p"], i).alias("p"), h.alias("h")))
-        return F.aggregate(steps, zero, step, lambda a: a["out"])
+        return let(running(size, lambda a, b: a + b), lambda ends: F.transform(both["h"], lambda h, i: one(h, i, ends)))
 
     return let(F.struct(parts.alias("p"), hits.alias("h")), placed)
 
 
+def _apart(found: Column, base: Column) -> Column:
+    """Those of found (in order, none overlapping another) that overlap none of base (in order): neither a base span that
+    starts before one ends later than its start, nor one that starts later begins before its end."""
+    def sifted(every: Column) -> Column:
+        ends = F.transform(every, lambda s: F.when(s["i"] < 0, s["end"]).otherwise(-1))
+        later = F.reverse(F.transform(every, lambda s: F.when(s["i"] < 0, -s["start"]).otherwise(-(1 << 30))))
+        over = F.struct(running(ends, _max, -1).alias("left"), F.reverse(running(later, _max, -(1 << 30))).alias("right"))
+        free = let(over, lambda o: F.transform(every, lambda s, k: F.when((s["i"] >= 0) & (F.get(o["left"], k) <= s["start"]) & (-F.get(o["right"], k) >= s["end"]), s["i"])))
+        return F.transform(F.filter(free, lambda i: i.isNotNull()), lambda i: F.get(found, i))
 
-
+    own = F.transform(found, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), i.alias("i")))
+    its = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(-1).alias("i")))
+    return F.when((F.size(found) == 0) | (F.size(base) == 0), found).otherwise(let(F.sort_array(F.concat(own, its)), sifted))
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -112,10 +139,9 @@ def _shape(m: Column) -> Column:
 def candidates(text: Column, base: Column) -> Column:
     """Structs of start, end, digits (all are), shape and a vote by each labeler; none overlaps a base span."""
     def voted(s: Column) -> Column:
-        before = F.substring(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24)))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["m"].rlike(_ALL_DIGITS).alias("digits"), _shape(s["m"]).alias("shape"), *[v.cast("int").alias(k) for k, v in _votes(s["m"], before).items()])
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["m"].rlike(_ALL_DIGITS).alias("digits"), _shape(s["m"]).alias("shape"), *[v.cast("int").alias(k) for k, v in _votes(s["m"], s["before"]).items()])
 
-    free = F.filter(located(text, CANDIDATE), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    free = let(located(text, CANDIDATE, 24), lambda found: _apart(found, base))
     kind = "array<struct<start:int,end:int,digits:boolean,shape:int," + ",".join(f"{k}:int" for k in LABELERS) + ">>"
     return F.when(text.rlike("[0-9]"), F.transform(free, voted)).otherwise(F.array()).cast(kind)
 
@@ -210,13 +236,14 @@ def written(spans: Column) -> Column:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with each span (overlapping ones as one) replaced by its kind in brackets."""
+    """The text with each span (overlapping ones as one, of the first's kind) replaced by its kind in brackets."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(a: Column, s: Column) -> Column:
-        new = F.array_append(F.array_append(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"])), F.element_at(names, s["kind"] + 1))
-        return F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), new.alias("out"))).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
+    def cut(x: Column) -> Column:  # x: the characters, and up to where spans reach
+        done = lambda i: F.when(i > 0, F.get(x["reach"], i - 1)).otherwise(0)
+        slices = F.transform(spans, lambda s, i: F.when(s["start"] >= done(i), F.concat(F.array_join(F.slice(x["c"], done(i) + 1, s["start"] - done(i)), ""), F.element_at(names, s["kind"] + 1))))
+        tail = F.slice(x["c"], F.element_at(x["reach"], -1) + 1, F.size(x["c"]))
+        return F.concat(F.array_join(slices, ""), F.array_join(tail, ""))
 
-    end = lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text) - a["at"]))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, zero, step, end))
+    ends = running(F.transform(spans, lambda s: s["end"]), _max)
+    return F.when(F.size(spans) == 0, text).otherwise(let(F.struct(F.split(text, "").alias("c"), ends.alias("reach")), cut))
