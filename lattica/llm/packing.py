@@ -11,7 +11,9 @@ Documents get their place by their rank among those of equal length.  Ranks are
 more the hotter a length is), so a hot length is no one task's work; the sizes of the salts, no more in number than
 lengths and tasks, are added up on the driver.
 
-Nulls: a null or empty text has the end token only.  Every row is packed, repeated ones too.
+Nulls: a null or empty text has the end token only; a null doc_id is an id like others.  Every row is packed, repeated
+ones too (equal rows are told apart by nothing but their place).  An empty table gives no rows.  Very long texts are encoded
+whole, by one task each.  Other columns of docs are not looked at.
 """
 from __future__ import annotations
 
@@ -43,14 +45,16 @@ class Encoder:
     The byte-level BPE of ``ranks`` is run by tiktoken, which gives the ids that tokenizers gives for the same vocabulary
     some five times as fast.  Texts are cut before each space: the pattern cuts there too wherever no white space follows,
     so the ids of a text are those of its words with their space, each encoded once and kept by its hash (a bounded
-    number, for the life of the worker).  Texts where white space follows a space are encoded whole."""
+    number, for the life of the worker).  Texts where white space follows a space, or that hold the string of a special
+    token (which is one token, wherever it stands), are encoded whole."""
 
-    def __init__(self, ranks: str, pattern: str, limit: int = 1_000_000):
+    def __init__(self, ranks: str, pattern: str, special: dict[str, int] | None = None, limit: int = 1_000_000):
         import tiktoken
 
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        self.bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens=special or {})
+        self.special = [x.encode() for x in special or {}]
         self.size = np.zeros(max(table.values()) + 1, np.int64)
         for piece, i in table.items():
             self.size[i] = len(piece)
@@ -62,16 +66,16 @@ class Encoder:
         self.pool, self.used = np.empty(1 << 16, "<u4"), 0
 
     @classmethod
-    def of_worker(cls, ranks: str, pattern: str) -> Encoder:
+    def of_worker(cls, ranks: str, pattern: str, special: dict[str, int] | None = None) -> Encoder:
         import tiktoken
 
-        kept = tiktoken.__dict__.setdefault("_encoders_of_worker", {})
-        if ranks not in kept:
-            kept[ranks] = cls(ranks, pattern)
-        return kept[ranks]
+        kept, key = tiktoken.__dict__.setdefault("_encoders_of_worker", {}), (ranks, pattern, *sorted((special or {}).items()))
+        if key not in kept:
+            kept[key] = cls(ranks, pattern, special)
+        return kept[key]
 
     def ids(self, text: str) -> np.ndarray:
-        return np.asarray(self.bpe.encode_to_numpy(text, disallowed_special=()), "<u4") if text else np.empty(0, "<u4")
+        return np.asarray(self.bpe.encode_to_numpy(text, allowed_special="all", disallowed_special=()), "<u4") if text else np.empty(0, "<u4")
 
     def _learn(self, buf: np.ndarray, keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         """Words of the buffer, their space first, by ascending key."""
@@ -104,6 +108,12 @@ class Encoder:
             text = buf[offs[i]: offs[i + 1]].tobytes().decode()
             if any(_WHITE.match(text, k + 1) or k + 1 == len(text) for k in _spaces(text)):
                 whole.add(i)
+        raw = buf.tobytes() if self.special else b""
+        for mark in self.special:
+            k = raw.find(mark)
+            while k >= 0:  # the last text that starts no later; strings across two texts send one of them the slow way, no more
+                whole.add(int(np.searchsorted(offs, k, side="right")) - 1)
+                k = raw.find(mark, k + 1)
         usual = ~head[start] & ~np.isin(np.searchsorted(offs, start, side="right") - 1, list(whole)) if whole else ~head[start]
         s, e = start[usual], end[usual]
         keys = word_hashes(buf, s, e)
@@ -137,11 +147,11 @@ def _spaces(text: str) -> Iterator[int]:
         k = text.find(" ", k + 1)
 
 
-def pieces(docs: DataFrame, ranks: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, ranks: str, pattern: str, special: dict[str, int] | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: texts with an end token, cut where longer than a sequence; the first piece is the shorter."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of_worker(ranks, pattern)
+        encoder = Encoder.of_worker(ranks, pattern, special)
         for batch in batches:
             out: list[tuple] = []
             for _, buf, offs, part in chunks(batch):
@@ -287,9 +297,9 @@ def _before(salted: DataFrame) -> dict[int, np.ndarray]:
     return {x: np.cumsum([0] + [own.get(i, 0) for i in range(max(own))]) for x, own in counts.items()}
 
 
-def pack(docs: DataFrame, ranks: str, pattern: str, capacity: int = CAPACITY, n_groups: int = 200, small: int = 600) -> DataFrame:
+def pack(docs: DataFrame, ranks: str, pattern: str, special: dict[str, int] | None = None, capacity: int = CAPACITY, n_groups: int = 200, small: int = 600) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
-    cut = stage(pieces(docs, ranks, pattern, capacity))
+    cut = stage(pieces(docs, ranks, pattern, special, capacity))
     histogram = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}
     salted = _salted(cut, histogram, 4 * shuffle_parts(docs.sparkSession))
     context = docs.sparkSession.sparkContext

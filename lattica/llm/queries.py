@@ -26,11 +26,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
-def tokenizer(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
-    """Ranks of the vocabulary byte_bpe_50k, and its pattern."""
+def tokenizer(name: str = "byte_bpe_50k") -> tuple[str, str, dict[str, int]]:
+    """Ranks of a vocabulary, its pattern and its special tokens, which are tokens wherever a text holds their string."""
+    import json
+
     import public_tokenizers
 
-    return public_tokenizers.path(name), public_tokenizers.PATTERN
+    with open(public_tokenizers.path(f"{name}.json")) as f:
+        added = json.load(f)["added_tokens"]
+    return public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN, {x["content"]: x["id"] for x in added}
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
