@@ -3,15 +3,19 @@
 Every window of ``width`` words of a benchmark item (or the whole item, if shorter) is sought in every document.  The
 terms of the benchmark are counted over all documents; each window is entered under the terms of its rarest places, one
 place more than a proximity match may miss, so that any match agrees in one of them; terms of no document are sure
-misses.  Only those terms are indexed: for each document the postings (positions) of such terms.  A posting moved back by the term's offset
-in the window gives the one place where the window can start; there the words of the window are compared with those of
-the document.  All of them equal: a phrase match; at least ``near`` of them at their offsets: a proximity match.
-
-The benchmark is the query set.  Its rare terms enter the scan as a literal set, ``block`` terms at a time; any number
-of blocks is possible, so nothing depends on the benchmark being small.
-
-Nulls: a null or empty text has no words and is hit by nothing; items with a null id still hit words but aren't listed.
-A repeated (doc_id, text) row counts once.  A document of no words is not contaminated.
+misses.  Only those terms are indexed.  The index is a table written once: a posting is a document, a position and the hashes
+of the words within a window's reach of it, which are what the lists of all other terms hold at these positions.  A posting
+moved back by the term's offset in the window gives the one place where the window can start; the window is intersected with
+the words around the posting at its offsets.  All of them equal: a phrase match; at least ``near`` of them at their offsets: a
+proximity match.  Postings and entries are joined by term, which Spark splits where a term is hot.
+
+The benchmark is the query set.  Its rare terms enter the scan that builds the index as a literal set, ``block`` terms at a
+time; any number of blocks is possible, so nothing depends on the benchmark being small.
+
+Nulls: a null or empty text has no words and is hit by nothing; items with a null id still hit words but aren't listed; a null
+doc_id is an id like others.  Every row of docs is returned, repeated ones too.  A document of no words is not contaminated;
+an empty table of documents gives no rows, an empty benchmark hits nothing.  Very long texts cost memory for their words, once.
+Other columns are not looked at, whatever their names.
 """
 from __future__ import annotations
 
@@ -45,36 +49,40 @@ def term_frequencies(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def rarest_terms(windows: DataFrame, frequencies: DataFrame, near: float) -> DataFrame:
-    """term, and the windows entered under it: (item_id, offset of the term, window).  Of the places that suffice, those of
+    """term, item_id, the term's offset in the window, and the window's words (hashes).  Of the places that suffice, those of
     absent terms are left out; windows with more absent terms than a match may miss go."""
     each = windows.select("item_id", "window", F.posexplode("window").alias("offset", "term")).join(frequencies, "term", "left")
     places = each.groupBy("item_id", "window").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "offset"))).alias("p"))
     enough = (F.size("window") - F.ceil(F.lit(float(near)) * F.size("window")) + 1).cast("int")
     best = places.select("item_id", "window", F.explode(F.slice("p", F.lit(1), enough)).alias("b")).where(F.col("b.df") > 0)
-    return best.select(F.col("b.term").alias("term"), F.struct("item_id", F.col("b.offset").alias("offset"), "window").alias("entry")).groupBy("term").agg(F.collect_list("entry").alias("entries"))
+    return best.select(F.col("b.term").alias("term"), "item_id", F.col("b.offset").alias("offset"), _hashed(F.col("window")).alias("window"))
 
 
-def _postings(docs: DataFrame, block: list[str]) -> DataFrame:
-    """A row per document and position of a term of the block, with the document's words; one without position if none."""
-    d = docs.select("doc_id", F.col("text").alias("_text"), terms(F.col("text")).alias("words"))
-    marked = F.filter(F.transform("words", lambda w, i: F.when(w.isin(block), i)), lambda i: i.isNotNull()) if block else F.array().cast("array<int>")
-    d = d.select("doc_id", F.xxhash64("_text").alias("row"), F.size("words").cast("long").alias("n_words"), "words", marked.alias("at"))
-    return d.select("doc_id", "row", "n_words", F.when(F.size("at") > 0, F.col("words")).alias("words"), F.explode_outer("at").alias("pos"))
+def _hashed(ws: Column) -> Column:
+    return F.transform(ws, lambda w: F.xxhash64(w))
 
 
-def matches(docs: DataFrame, entries: DataFrame, block: list[str], near: float) -> DataFrame:
-    """doc_id, row, n_words and found: an array of (start, length, item_id, exact), or null."""
-    p = _postings(docs, block).withColumn("term", F.get("words", "pos"))
-    p = p.join(entries, "term", "left")
+def postings(docs: DataFrame, block: list[str], reach: int) -> DataFrame:
+    """doc_id, row (hash of the text), n_words, term, pos, around (hashes of the words from reach before to reach after) and
+    lead (how many of these stand before): a row for each position of a term of the block, and for each document one with no
+    term and pos -1.  Positions are exploded without the text."""
+    d = docs.select("doc_id", F.col("text").alias("_text"), terms(F.col("text")).alias("words"))
+    kind = "array<struct<term:string,pos:int,around:array<bigint>,lead:int>>"
+    mark = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(-1).alias("pos"), F.lit(None).cast("array<bigint>").alias("around"), F.lit(0).alias("lead"))).cast(kind)
+    at = F.filter(F.transform("words", lambda w, i: F.when(w.isin(block), i)), lambda i: i.isNotNull())
+    own = F.transform(at, lambda i: F.struct(F.get("words", i).alias("term"), i.alias("pos"), _hashed(F.slice("words", F.greatest(i - reach, F.lit(0)) + 1, F.lit(2 * reach + 1))).alias("around"), F.least(i, F.lit(reach)).alias("lead"))).cast(kind)
+    d = d.select("doc_id", F.xxhash64("_text").alias("row"), F.size("words").cast("long").alias("n_words"), F.explode(F.concat(mark, own) if block else mark).alias("p"))
+    return d.select("doc_id", "row", "n_words", "p.*")
 
-    def checked(e: Column) -> Column:
-        start, n = F.col("pos") - e["offset"], F.size(e["window"])
-        same = F.transform(e["window"], lambda w, i: F.get(F.col("words"), start + i) == w)  # places beyond the document: null
-        agree = F.size(F.filter(same, lambda x: x))
-        return F.struct(start.alias("start"), n.alias("length"), e["item_id"].alias("item_id"), (agree == n).alias("exact"), (agree >= near * n).alias("near"))
 
-    found = F.filter(F.transform("entries", checked), lambda m: m["near"])
-    return p.select("doc_id", "row", "n_words", found.alias("found"))
+def matches(index: DataFrame, entries: DataFrame, near: float) -> DataFrame:
+    """doc_id, row and found: the set of (start, length, item_id, exact) of matches.  A posting moved back by its offset names
+    the start; at the other offsets the words around it are those of the lists that hold these positions."""
+    p = index.where("pos >= 0").drop("n_words").join(entries, "term")
+    n = F.size("window")
+    agree = F.size(F.filter(F.transform("window", lambda w, i: F.get("around", F.col("lead") - F.col("offset") + i) == w), lambda x: x))
+    p = p.select("doc_id", "row", "item_id", (F.col("pos") - F.col("offset")).alias("start"), n.alias("length"), agree.alias("agree")).where(F.col("agree") >= near * F.col("length"))
+    return p.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "length", "item_id", (F.col("agree") == F.col("length")).alias("exact"))).alias("found"))
 
 
 def _covered(spans: Column) -> Column:
@@ -90,13 +98,16 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, near
     """One row per document: n_words, n_hit, n_items, items (ids as sorted strings), n_near and contaminated."""
     windows = stage(item_windows(benchmark, width))
     entries = stage(rarest_terms(windows, term_frequencies(docs, windows), near))
-    n_blocks = -(-entries.count() // block) or 1
+    n_blocks = -(-entries.select("term").distinct().count() // block) or 1
     parts = []
     for b in range(n_blocks):
         own = entries if n_blocks == 1 else entries.where(F.pmod(F.xxhash64("term"), F.lit(n_blocks)) == b)
-        parts.append(matches(docs, own, [r.term for r in own.select("term").collect()], near))
-    every = reduce(DataFrame.unionByName, parts)
-    d = every.groupBy("doc_id", "row", "n_words").agg(F.flatten(F.collect_list("found")).alias("found"))
+        part = postings(docs, [r.term for r in own.select("term").distinct().collect()], width - 1)
+        parts.append(part if b == 0 else part.where("pos >= 0"))
+    index = stage(reduce(DataFrame.unionByName, parts))
+    hits = matches(index, entries, near).withColumnsRenamed({"doc_id": "_id", "row": "_row"})
+    d = index.where("pos < 0").select("doc_id", "row", "n_words").join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("row").eqNullSafe(F.col("_row")), "left")
+    d = d.withColumn("found", F.coalesce("found", F.array().cast(hits.schema["found"].dataType)))
     exact = F.filter("found", lambda m: m["exact"])
     items = F.array_sort(F.array_distinct(F.filter(F.transform(exact, lambda m: m["item_id"].cast("string")), lambda x: x.isNotNull())))
     others = F.array_distinct(F.transform(F.filter("found", lambda m: ~m["exact"]), lambda m: m["item_id"]))
