@@ -1,6 +1,8 @@
 """Reading tables, staging intermediate tables on shared storage, small column helpers."""
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,11 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  Where the cluster names none (tests), a local one is set."""
+    """The folder that driver and executors share.  A local session (tests) that names none gets one, gone when it ends; on a
+    cluster that is an error, as executors would write where nobody reads."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="lattica-")
-        spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        made = tempfile.mkdtemp(prefix="lattica-")
+        atexit.register(shutil.rmtree, made, True)
+        spark.sparkContext.setCheckpointDir(made)
         found = spark.sparkContext.getCheckpointDir()
     return found
 

@@ -11,7 +11,7 @@ the word's (a Dirichlet prior of weight ``mu``), the word's by adding 1.
 The filter of words is broadcast whole.  That of pairs is broadcast ``slice_bits`` at a time: texts are read once for each
 slice, and the shares of their scores are added up.
 
-The base score needs exact counts: those of the ``head`` most frequent words are broadcast, which serves most tokens and
+The base score needs exact counts: those of the most frequent words, ``head`` at most, are broadcast, which serves most tokens and
 every hot one; the rest, with low counts each, are joined.
 
 Nulls: a null text is empty: one token, the end.  Rows with a null id aren't trained on and score like others, except
@@ -70,6 +70,9 @@ class Filter:
     def fill(self) -> float:
         return float(np.unpackbits(self.bits[: 1 << 20]).mean()) if len(self.bits) else 0.0
 
+    def plain(self) -> tuple:
+        return self.bits, self.at, self.hashes, self.top
+
     def levels(self, keys: np.ndarray) -> np.ndarray:
         start, per = self.at[:-1], np.diff(self.at)
         segment = (keys >> SHIFT).astype(np.int64)
@@ -225,6 +228,19 @@ def fit(docs: DataFrame, bits: int | None = None, hashes: int = 4, least_pairs:
     return Model(_loaded(fields.where("word"), of[True], hashes), fields, of[False], hashes, int(total[0]), int(total[1])), words
 
 
+def _threshold(words: DataFrame, head: int) -> int:
+    """A count that no more than ``head`` words reach, from a histogram of counts on a scale of eighths of powers of 2."""
+    size = F.floor(8 * F.log2(F.col("n").cast("double")))
+    level, left = words.groupBy(size.alias("size")).agg(F.min("n").alias("n"), F.count("*").alias("k")).collect(), head
+    out = 1 << 62
+    for r in sorted(level, key=lambda r: -r.size):
+        left -= r.k
+        if left < 0:
+            break
+        out = r.n
+    return out
+
+
 def _row_sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, at[:-1]) if len(at) > 1 else np.zeros(0, x.dtype)
 
@@ -233,7 +249,7 @@ def score(docs: DataFrame, mu: float = 1000.0, head: int = 1 << 17, slice_bits:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     model, words = fit(docs, **filter_options)
     n, v = model.n, model.v
-    top = words.orderBy(F.desc("n"), "key").limit(head).collect()
+    top = words.where(F.col("n") >= _threshold(words, head)).collect()
     top_keys, top_n = np.array([r.key for r in top], np.int64).view(U), np.array([r.n for r in top], np.int64)
     order = np.argsort(top_keys)
     texts, context = docs.select("doc_id", "text", F.xxhash64("text").alias("mark")), docs.sparkSession.sparkContext
@@ -241,7 +257,7 @@ def score(docs: DataFrame, mu: float = 1000.0, head: int = 1 << 17, slice_bits:
 
     def logs(m, seq, prev, at, u, inverse):
         """Logarithms of the pair probabilities, 0 for pairs of other slices."""
-        words, first, end, pairs = m
+        words, first, end, pairs = Filter(*m[0]), m[1], m[2], Filter(*m[3])
         c1 = words.counts(u)
         p1 = (c1 + 1) / (n + v + 1)
         h1 = np.empty(len(seq))
@@ -277,7 +293,7 @@ def score(docs: DataFrame, mu: float = 1000.0, head: int = 1 << 17, slice_bits:
 
     d = None
     for first, end, pairs in model.slices(slice_bits):
-        shared = context.broadcast((model.words, first, end, pairs))
+        shared = context.broadcast((model.words.plain(), first, end, pairs.plain()))  # no classes of ours: workers may lack them
         if d is None:
             d = texts.mapInArrow(each, "doc_id long, mark long, n_tokens long, known long, base double, score double, tail array<long>")
             d = stage(d.withColumn("row", F.monotonically_increasing_id()))
