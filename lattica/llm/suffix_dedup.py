@@ -1,14 +1,20 @@
 """Suffix-array dedup: bytes in 100-byte strings that also start earlier, by external induced sorting.
 
-Windows are dealt to shards by their anchor (see ``_repeats``), so equal ones meet; contexts that repeat whole are told
-there.  The rest, contexts that share an anchor but differ, are sorted: each shard writes them to a file, and
-``InducedSorter`` orders its suffixes.  Suffixes that start a descent-then-ascent (LMS) are named and ranked by
-doubling on the string of names, which takes the place of deeper recursion; then two scans induce the order of all others.  What is induced waits in one queue per
-leading symbol, together with its common prefix with the queue's previous entry: 1 more than the least common prefix
-met since then in the scan.  Queues hold a bounded number of entries in memory and the rest in files, read back in order,
-so a shard needs memory for its LMS suffixes only.  Prefixes count up to the width, as longer ones change nothing.
-
-Nulls: a null text is empty; rows with a null id are kept whole and lend nothing.  doc_id identifies a document.
+Windows are dealt to shards by their anchor (see ``_repeats``), so equal ones meet.  A shard streams the contexts it gets to
+a file, and ``InducedSorter`` orders its suffixes.  Suffixes that start a descent-then-ascent (LMS) are ordered first: by
+recursion on the string of their names, with queues on disk (``_external``), down to a string that fits in memory, which is
+sorted there by doubling.  Then two scans induce the order of all others.  What is induced waits in a queue, in order of
+symbol and turn, together with its common prefix with the entry before it: 1 more than the least common prefix met since then
+in the scan.  Queues keep ``limit`` entries in memory and the rest in files; the text, the LMS suffixes, the order and the
+marks of repeated windows are files too, so a shard may be far larger than memory.  Prefixes count up to the width, as longer
+ones change nothing; those of neighbouring LMS suffixes are compared directly.
+
+Contexts that repeat an earlier one whole are mostly collapsed before they are dealt (see ``_repeats``).
+
+Nulls: a null text is empty; rows with a null id are kept whole and lend nothing.  Rows that share an id are documents of
+their own, in the order in which they are read: of equal rows the first keeps its text.  An empty table gives no rows.  A
+very long text is one task's work when it is cut and put together, but its windows are dealt like others.  Other columns of
+docs are not looked at, whatever their names.
 """
 from __future__ import annotations
 
@@ -23,11 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import shuffle_parts, stage
-from ._repeats import byte_symbols, chunks, covered, joined, judge, lists, open_texts, runs, with_factors
+from ._external import Column, blocks, lms_of, lms_order
+from ._repeats import byte_symbols, chunks, contexts, covered, joined, judge, lists, numbered, runs, with_factors
+
+FOUND = "doc_id long, rep long, start int, n int"
 
 
 class Store:
-    """A first-in-first-out queue of (position, common prefix); over ``limit`` entries go to a file, in order."""
+    """One symbol's part of the priority queue: (position, common prefix) in order of turn, as they come; over ``limit`` entries
+    go to a file, in order."""
 
     def __init__(self, folder: str, limit: int):
         self.folder, self.limit = folder, limit
@@ -66,31 +76,29 @@ class Store:
 
 
 class InducedSorter:
-    """Suffixes of t (symbols 0 .. 254, the last of them 0, no 0 beside another) in order of their first ``width`` symbols."""
+    """Suffixes of t (symbols 0 .. 254, the last of them 0, no 0 beside another) in order of their first ``width`` symbols.  With
+    ``padded``, t is the part of it before eight zeros."""
 
-    def __init__(self, t: np.ndarray, width: int, folder: str, limit: int = 1 << 20):
+    def __init__(self, t: np.ndarray, width: int, folder: str, limit: int = 1 << 20, padded: np.ndarray | None = None):
         self.t, self.width, self.folder, self.limit = t, width, folder, limit
-        n = len(t)
-        self.run_end = np.append(np.flatnonzero(t[1:] != t[:-1]), n - 1)
-        c = t[self.run_end]
-        rising = np.append(c[1:] > c[:-1], True)
-        first = np.append(0, self.run_end[:-1] + 1)
-        self.lms = first[1:][rising[1:] & ~rising[:-1]]
+        self.padded = np.concatenate([t, np.zeros(8, np.uint8)]) if padded is None else padded
+        self.lms = lms_of(t, folder, limit)
 
     def _run(self, i: int) -> int:
-        return int(self.run_end[np.searchsorted(self.run_end, i)]) - int(i) + 1
+        own = np.asarray(self.t[i: i + self.width])
+        return int(np.append(np.flatnonzero(own != own[0]), len(own))[0])
 
     def _seam(self, a: int, b: int) -> int:
         """Common prefix of an L and an S suffix with the same first symbol."""
         return min(self._run(a), self._run(b), self.width)
 
     def _eight(self, at: np.ndarray) -> np.ndarray:
-        padded = np.concatenate([self.t, np.zeros(8, np.uint8)]) if not hasattr(self, "_padded") else self._padded
-        self._padded = padded
-        return np.ndarray((len(self.t) + 1,), ">u8", padded, strides=(1,))[np.minimum(at, len(self.t))].astype(np.uint64)
+        return np.ndarray((len(self.t) + 1,), ">u8", self.padded, strides=(1,))[np.minimum(at, len(self.t))].astype(np.uint64)
 
     def _lms_sorted(self) -> np.ndarray:
-        lms = self.lms
+        if len(self.lms) > self.limit:
+            return lms_order(self.t, self.lms, self.folder, self.limit)
+        lms = np.asarray(self.lms)
         m = len(lms)
         size = np.append(lms[1:], len(self.t) - 1) - lms + 1
         rank = np.zeros(m, np.int64)  # where the group of equal ones starts
@@ -169,27 +177,40 @@ class InducedSorter:
         for x, a, b in zip(symbols.tolist(), head.tolist(), (last + 1).tolist()):
             queues[x].push(p[a:b], new[a:b])
 
+    def _seeds(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(symbol, positions, common prefixes) of LMS suffixes, from the smallest on."""
+        last = None
+        for own in blocks(self._lms_sorted(), self.limit):
+            common = np.zeros(len(own), np.int16)
+            common[1:] = self._common(own[:-1], own[1:])
+            if last is not None:
+                common[:1] = self._common(last, own[:1])
+            last = own[-1:]
+            lead = self.t[own]
+            cut = np.flatnonzero(np.append(True, lead[1:] != lead[:-1])).tolist()
+            for a, b in zip(cut, [*cut[1:], len(own)]):
+                yield int(lead[a]), own[a:b], common[a:b]
+
     def descending(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All suffixes from the largest on: chunks of positions and common prefixes with the one before."""
         t, sigma = self.t, 256
         make = lambda: [Store(self.folder, self.limit) for _ in range(sigma)]
-        lms = self._lms_sorted()
-        shared = np.zeros(len(lms), np.int16)
-        shared[1:] = self._common(lms[:-1], lms[1:])
-        lead = t[lms]
-        bounds = np.searchsorted(lead, np.arange(sigma + 1))
         queues, done, carry = make(), make(), np.full(sigma, -1, np.int16)
+        seeds = self._seeds()
+        seed = next(seeds, None)
         for c in range(sigma):  # L suffixes from the smallest on
             end = None
             while (got := queues[c].pop()) is not None:
                 self._induce(queues, carry, *got, lambda b, c=c: b >= c)
                 done[c].push(*got)
                 end = got[0][-1]
-            own, common = lms[bounds[c]: bounds[c + 1]], shared[bounds[c]: bounds[c + 1]].copy()
-            for k in range(0, len(own), self.limit):
-                if k == 0:
-                    common[0] = 0 if end is None else self._seam(end, own[0])
-                self._induce(queues, carry, own[k: k + self.limit], common[k: k + self.limit], lambda b, c=c: b > c)
+            first = True
+            while seed and seed[0] == c:
+                _, own, common = seed
+                if first:
+                    common[0], first = 0 if end is None else self._seam(end, own[0]), False
+                self._induce(queues, carry, own, common, lambda b, c=c: b > c)
+                seed = next(seeds, None)
         queues, carry = make(), np.full(sigma, -1, np.int16)
         for c in range(sigma - 1, -1, -1):  # S suffixes from the largest on
             end = None
@@ -206,83 +227,109 @@ class InducedSorter:
                 yield pos, down
 
 
-def repeated_windows(contexts: list[bytes], ns: np.ndarray, docs: np.ndarray, starts: np.ndarray, width: int, folder: str, limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, place) of windows of the contexts that an earlier one equals; the first ns[i] windows of context i count."""
-    size = np.array([len(x) for x in contexts], np.int64)
-    at = np.concatenate([[0], np.cumsum(size + 1)])
-    with open(os.path.join(folder, "text"), "wb") as f:
-        for x in contexts:
-            f.write(x)
-            f.write(b"\xff")
-    t = np.memmap(os.path.join(folder, "text"), np.uint8, "r+")
-    t += np.uint8(1)  # 0xff, which no UTF-8 text holds, becomes 0
-    gid, found = 0, []
-    last = None  # the last suffix, if its group may go on: (group, position)
-    for pos, lcp in InducedSorter(t, width, folder, limit).descending():
-        group = gid + np.cumsum(lcp < width)
-        alike = lcp >= width
-        member = alike.copy()
-        member[:-1] |= alike[1:]
-        if alike[0] and last:
-            found.append((np.array([last[0]]), np.array([last[1]])))
-        found.append((group[member], pos[member]))
-        gid = int(group[-1])
-        last = None if member[-1] else (gid, int(pos[-1]))
-    del t
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    group, pos = (np.concatenate(x) for x in zip(*found))
-    of = np.searchsorted(at, pos, side="right") - 1
-    offset = pos - at[of]
-    own = offset < ns[of]
-    group, of, offset = group[own], of[own], offset[own]
-    doc, place = docs[of], starts[of] + offset
-    order = np.lexsort((place, doc, group))
-    group, doc, place = group[order], doc[order], place[order]
-    later = np.zeros(len(group), bool)
-    later[1:] = group[1:] == group[:-1]
-    return doc[later], place[later]
-
-
-def _contexts(docs: DataFrame, width: int) -> DataFrame:
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, buf, offs, part in chunks(batch):
-                s, at = lists(part.column(2))
-                n, a = lists(part.column(3))[0], lists(part.column(4))[0]
-                doc = np.repeat(np.arange(len(ids)), np.diff(at))
-                raw = buf.tobytes()
-                lo = offs[doc] + s
-                text = [raw[x:y] for x, y in zip(lo.tolist(), (lo + n - 1 + width).tolist())]
-                yield pa.RecordBatch.from_pydict({"anchor": a, "doc_id": ids[doc].astype(np.int64), "start": s, "n": n, "context": pa.array(text, pa.binary())})
-
-    return docs.mapInArrow(cut, "anchor long, doc_id long, start int, n int, context binary")
+class Repeats:
+    """Marks the positions of t whose window of ``width`` symbols stands earlier in t, from chunks of the descending order."""
+
+    def __init__(self, marks: np.ndarray, width: int):
+        self.marks, self.width = marks, width
+        self.low: int | None = None  # the earliest position of the last group
+
+    def add(self, pos: np.ndarray, lcp: np.ndarray) -> None:
+        alike = lcp >= self.width
+        go_on = bool(alike[0]) and self.low is not None
+        head = np.flatnonzero(~alike)
+        if not len(head) or head[0]:
+            head = np.append(0, head)
+        size = np.diff(np.append(head, len(pos)))
+        low = np.minimum.reduceat(pos, head)
+        member = np.repeat(size > 1, size)
+        if go_on:
+            member[: size[0]] = True
+            self.marks[self.low] = 1
+            low[0] = min(low[0], self.low)
+        self.marks[pos[member]] = 1
+        self.marks[low] = 0
+        self.low = int(low[-1])
+
+
+def _written(batches: Iterator[pa.RecordBatch], folder: str) -> tuple[Column, Column]:
+    """The text of a shard, contexts apart by 0xff, and its rows (doc_id, rep, start, n, place in the text)."""
+    text, rows = Column(folder, np.uint8), Column(folder)
+    for b in batches:
+        own = b.column(5).to_pylist()
+        size = np.array([len(x) for x in own], np.int64)
+        at = text.n + np.cumsum(size + 1) - size - 1
+        text.add(np.frombuffer(b"\xff".join([*own, b""]), np.uint8))
+        rows.add(np.stack([*(b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2, 3, 4)), at], 1).ravel())
+    return text, rows
+
+
+def repeated_windows(text: Column, rows: Column, width: int, folder: str, limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]]:
+    """(doc_id, rep, start, n) of runs of windows that an earlier one equals; rows are in order of place, and the first n windows
+    of each count."""
+    n = text.n
+    text.add(np.zeros(8, np.uint8))
+    text.read()
+    padded = np.memmap(text.path, np.uint8, "r+")
+    for a in range(0, n, 1 << 24):
+        padded[a: min(n, a + (1 << 24))] += np.uint8(1)  # 0xff, which no UTF-8 text holds, becomes 0
+    marks = np.memmap(os.path.join(folder, "marks"), np.uint8, "w+", shape=(n,))
+    found = Repeats(marks, width)
+    for pos, lcp in InducedSorter(padded[:n], width, folder, limit, padded).descending():
+        found.add(pos, lcp)
+    for own in blocks(rows.read(), 5 * (1 << 16)):
+        d, p, s, m, at = own.reshape(-1, 5).T
+        row = np.repeat(np.arange(len(m)), m)
+        inside = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
+        hit = np.flatnonzero(marks[at[row] + inside])
+        row, inside = row[hit], inside[hit]
+        if len(hit):
+            yield joined(d[row], p[row], s[row] + inside, np.ones(len(hit), np.int32), np.zeros(len(hit), np.int64), s[row] + inside)[:4]
+
+
+def _spans(buf: np.ndarray, offs: np.ndarray):
+    return lambda i: i, lambda i: i + 1, offs
+
+
+def _shard(width: int, limit: int):
+    def out(d, p, s, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"doc_id": d.astype(np.int64), "rep": p.astype(np.int64), "start": s.astype(np.int32), "n": n.astype(np.int32)})
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: deque = deque()
+
+        def fresh() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                known = batch.column(8).to_numpy(zero_copy_only=False)
+                if known.any():
+                    told.append(out(*(batch.column(i).to_numpy(zero_copy_only=False)[known] for i in (1, 2, 3, 4))))
+                    batch = batch.filter(pa.array(~known))
+                if batch.num_rows:
+                    yield batch
 
+        with tempfile.TemporaryDirectory() as folder:
+            text, rows = _written(fresh(), folder)
+            while told:
+                yield told.popleft()
+            if rows.n:
+                for found in repeated_windows(text, rows, width, folder, limit):
+                    yield out(*found)
 
-def factors(docs: DataFrame, width: int = 100, k: int = 32) -> DataFrame:
-    """doc_id, start, n: windows (bytes) that stand earlier, by smaller doc_id or earlier place."""
-    n = shuffle_parts(docs.sparkSession)
-    first = stage(judge(runs(docs, byte_symbols, width, k), n))
-    open_ = open_texts(docs, first.where("kind = 2"), "start", "n", "anchor")
+    return each
 
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with tempfile.TemporaryDirectory() as folder:
-            kept = [(b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(4).to_pylist()) for b in batches if b.num_rows]
-            if not kept:
-                return
-            doc, start, ns = (np.concatenate([x[i] for x in kept]) for i in range(3))
-            d, p = repeated_windows([c for x in kept for c in x[3]], ns, doc, start, width, folder)
-            if len(d):
-                d, s, w, _, _ = joined(d, p, np.ones(len(d), np.int32), np.zeros(len(d), np.int64), p)
-                yield pa.RecordBatch.from_pydict({"doc_id": d.astype(np.int64), "start": s.astype(np.int32), "n": w.astype(np.int32)})
 
-    second = _contexts(open_, width).repartition(n, "anchor").mapInArrow(shard, "doc_id long, start int, n int")
-    return first.where("kind = 1").select("doc_id", "start", "n").unionByName(second)
+def factors(docs: DataFrame, width: int = 100, k: int = 32, collapse: bool = True, limit: int = 1 << 20) -> DataFrame:
+    """doc_id, rep, start, n: windows (bytes) that stand earlier, by smaller doc_id or earlier place; docs from ``numbered``."""
+    n = shuffle_parts(docs.sparkSession)
+    first = stage(judge(runs(docs, byte_symbols, width, k, collapse), n))
+    sent = contexts(docs, first, byte_symbols, _spans, width, collapse).repartition(n, "key").sortWithinPartitions("doc_id", "rep", "start")
+    return first.where("kind = 1").select("doc_id", "rep", "start", "n").unionByName(sent.mapInArrow(_shard(width, limit), FOUND))
 
 
-def suffix_dedup(docs: DataFrame, width: int = 100, k: int = 32) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 100, k: int = 32, collapse: bool = True, limit: int = 1 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (maximal removed runs: start, end) and kept (the bytes left)."""
-    found = factors(docs, width, k).withColumns({"ref_doc": F.lit(0).cast("long"), "ref_start": F.lit(0)})
+    docs = numbered(docs)
+    found = factors(docs, width, k, collapse, limit).withColumns({"ref_doc": F.lit(0).cast("long"), "ref_start": F.lit(0)})
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,15 +1,19 @@
 """The operators of lattica.llm against plain versions, on awkward rows and on the smallest tables."""
 import random
 import re
+import subprocess
+import sys
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import _graph, decontamination, language_id, lm_score, ngram_join, packing, pii, quality_rules, rlz_dedup, suffix_dedup, toxicity
+from lattica.llm import _external, _graph, _repeats, decontamination, language_id, lm_score, ngram_join, packing, pii, quality_rules, rlz_dedup, suffix_dedup, toxicity
 from lattica.llm.queries import QUERIES, tokenizer
 
 from . import brute
@@ -79,6 +83,15 @@ def test_decontamination(spark, docs, items, empty):
     assert rows(decontamination.decontamination(docs, b.where("false")), "n_hit", "contaminated") == {i: (0, False) for i, _ in awkward()}
 
 
+def test_decontamination_of_a_long_text_and_repeated_rows(spark):
+    r = random.Random(2)
+    long = " ".join(f"x{r.randint(0, 300)}" for _ in range(30_000))
+    d = spark.createDataFrame([(1, long), (1, long), (None, PASSAGE), (2, None), (2, None)], "doc_id long, text string").withColumns({"words": F.lit(1), "row": F.lit(2), "term": F.lit("x"), "item_id": F.lit(3)})
+    b = spark.createDataFrame([(5, " ".join(long.split()[:3000])), (6, PASSAGE)], "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items) for r in decontamination.decontamination(d, b).collect())
+    assert got == [(0, 40, 40, 1), (1, 30000, 3000, 1), (1, 30000, 3000, 1), (2, 0, 0, 0), (2, 0, 0, 0)]
+
+
 def test_decontamination_near_matches(spark):
     r = random.Random(6)
     items = [(i, " ".join(f"b{i}x{k}" if k % 3 else f"common{k % 5}" for k in range(r.choice([4, 5, 9, 13, 20])))) for i in range(30)]
@@ -122,6 +135,18 @@ def test_pii_addresses_with_zero_parts(spark):
     assert rows(d, "masked")[2] == ("at [IP], [IP] and [IP]",)
 
 
+def test_pii_time_is_linear_in_matches(spark):
+    def took(n):
+        d = spark.createDataFrame([(1, " ".join(f"10.0.{i % 256}.1" if i % 2 else f"key={i}abcdef{i * 7919:012d}" for i in range(n)))], "doc_id long, text string").coalesce(1)
+        t = time.time()
+        r = pii.find_private(d, [0.0] * 18 + [1.0]).select(F.size("ip"), F.length(pii.masked(F.col("text"), F.col("spans")))).first()
+        assert r[0] == n // 2
+        return time.time() - t
+
+    took(100)
+    assert took(16_000) < 10 * took(4_000) + 2
+
+
 def test_em_trusts_good_labelers():
     v = lambda *x: tuple(x) + (0,) * (len(pii.LABELERS) - len(x))
     post, rates, _ = pii.estimate([(v(1, 1, 1), 50), (v(-1, -1, 1), 50), (v(0, 0, 0, 0, 0, -1), 100)])
@@ -188,6 +213,43 @@ def test_byte_repeats(spark, docs, empty):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("collapse", [True, False])
+def test_repeats_by_the_method_alone(spark, docs, collapse, monkeypatch):
+    """Without the collapse of equal contexts everything is found by the parse and by the sort; HOT = 3 splits all anchors."""
+    r = random.Random(3)
+    made = [(i, " ".join(r.choice("abc") for _ in range(r.randint(0, 150)))) for i in range(40)]
+    d = spark.createDataFrame(made, "doc_id long, text string").repartition(5)
+    words = lambda f, **k: rows(rlz_dedup.rlz_dedup(f, collapse=collapse, **k).withColumn("sha", F.sha2(F.col("kept").cast("binary"), 256)), "n_words", "n_removed", "sha")
+    text = lambda f, **k: rows(suffix_dedup.suffix_dedup(f, collapse=collapse, **k).withColumns({"sha": F.sha2("kept", 256), "n_spans": F.size("spans")}), "n_bytes", "n_removed", "n_spans", "sha")
+    assert words(docs) == brute.word_repeats(awkward()) and text(docs) == brute.byte_repeats(awkward())
+    assert words(d, width=7, k=2) == brute.word_repeats(made, 7)
+    assert text(d, width=17, k=5, limit=4000) == brute.byte_repeats(made, 17)  # shards larger than what is held
+    for module in (_repeats, rlz_dedup):
+        monkeypatch.setattr(module, "HOT", 3)
+    assert words(d, width=7, k=2) == brute.word_repeats(made, 7) and text(d, width=17, k=5) == brute.byte_repeats(made, 17)
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    own = spark.createDataFrame([(1, PASSAGE), (1, PASSAGE), (1, "x " + PASSAGE), (2, PASSAGE), (None, PASSAGE), (None, None)], "doc_id long, text string").coalesce(1)
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in rlz_dedup.rlz_dedup(own).collect())
+    assert got == [(0, 0, 0), (0, 40, 0), (1, 40, 0), (1, 40, 40), (1, 41, 40), (2, 40, 40)]
+    n = len(PASSAGE)
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffix_dedup.suffix_dedup(own).collect())
+    assert got == [(0, 0, 0), (0, n, 0), (1, n, 0), (1, n, n), (1, n + 2, n), (2, n, n)]
+
+
+def test_greedy_parse_of_a_document():
+    at = lambda *x: np.array(x, np.int64)
+    assert rlz_dedup.parse(at(0, 2, 9), at(3, 5, 1), at(7, 8, 9), at(10, 0, 4)) == [(0, 3, 7, 10), (3, 4, 8, 1), (9, 1, 9, 4)]
+
+
+def test_external_order(tmp_path):
+    r = random.Random(5)
+    for _ in range(150):
+        s = np.array([r.randint(1, r.choice([1, 2, 3, 30])) for _ in range(r.randint(1, 80))] + [0])
+        assert _external.suffix_order(s, str(tmp_path), r.choice([2, 3, 5, 16])).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+
+
 def test_induced_sorting(tmp_path):
     r = random.Random(1)
     for _ in range(300):
@@ -255,13 +317,36 @@ def test_filter_grows_with_what_it_holds(spark, docs):
     assert all(one[i] == pytest.approx(many[i]) for i in one)
 
 
+def test_head_words_are_those_of_largest_counts(spark):
+    words = spark.createDataFrame([(i, 1 + i // 100) for i in range(1000)], "key long, n long")
+    for head in (0, 50, 150, 2000):
+        n = words.where(F.col("n") >= lm_score._threshold(words, head)).count()
+        assert n <= head and (head < 150 or n >= 100)
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """The driver finds the package on a path of its own; workers don't."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(toxicity.__file__).parents[2])!r})
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+d = s.createDataFrame([(i, "good words " * 30 + "vile" * (i % 3 == 0), "en") for i in range(40)], "doc_id long, text string, lang string")
+y = s.createDataFrame([(i, int(i % 3 == 0), 1) for i in range(40)], "doc_id long, toxic int, quality int")
+from lattica.llm import lm_score, ngram_join, rlz_dedup, suffix_dedup, toxicity
+for f in (lm_score.score, ngram_join.jaccard_join, rlz_dedup.rlz_dedup, suffix_dedup.suffix_dedup, lambda d: toxicity.score_toxicity(d, y)):
+    assert f(d).count() == 40 and len(f(d).collect()) == 40
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 def test_packing(spark, docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    extra = [(500, "<|endoftext|> x"), (501, "word " * 5000), (502, "don't  stop 's 't\t\tx "), (503, " lead"), (504, "a\n b\t c \n d")]
+    extra = [(500, "<|endoftext|> x"), (505, "a<|endoftext|>b  <|endoftext|"), (506, "<|endoftext|><|endoftext|>"), (501, "word " * 5000), (502, "don't  stop 's 't\t\tx "), (503, " lead"), (504, "a\n b\t c \n d")]
     own = awkward() + extra
     d = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
     got = packing.pack(d, *tokenizer()).collect()
@@ -307,8 +392,6 @@ def test_toxicity(spark, empty, labels):
 
 
 def test_language(spark):
-    from pathlib import Path
-
     assert Path(DATA).exists()
     pages = spark.read.parquet(f"{DATA}/pages.parquet").unionByName(spark.createDataFrame([(10**6, None, None), (10**6 + 1, "not an address", "")], "page_id long, url string, html string"))
     d = language_id.identify(pages, spark.read.parquet(f"{DATA}/documents.parquet")).join(pages, "page_id")
