@@ -18,8 +18,10 @@ import numpy as np
 _END = (1 << 62, 1 << 62)
 
 
-def _mapped(folder: str, n: int, kind=np.int64) -> np.ndarray:
-    """n zeros in a file of its own."""
+def zeros(folder: str, n: int, limit: int, kind=np.int64) -> np.ndarray:
+    """n zeros, in a file of their own if they are more than ``limit``."""
+    if n <= limit:
+        return np.zeros(n, kind)
     return np.memmap(tempfile.mktemp(dir=folder), kind, "w+", shape=(max(n, 1),))[:n]
 
 
@@ -120,10 +122,16 @@ class Heap:
 
 def lms_of(s: np.ndarray, folder: str, limit: int) -> np.ndarray:
     """Places of LMS suffixes, ascending; the last symbol's, the end, is one if a larger symbol stands before it."""
-    n = len(s)
-    out, at = _mapped(folder, n // 2 + 2), n // 2 + 2
-    rising = True  # of the symbol after the block
-    size = max(limit, 2)
+    n = sum(len(x) for x in _lms_blocks(s, limit))
+    out, at = zeros(folder, n, limit, np.uint32 if len(s) < 1 << 32 else np.int64), n
+    for found in _lms_blocks(s, limit):
+        out[at - len(found): at] = found
+        at -= len(found)
+    return out
+
+
+def _lms_blocks(s: np.ndarray, limit: int) -> Iterator[np.ndarray]:
+    n, rising, size = len(s), True, max(limit, 2)  # rising: of the symbol after the block
     for b in range(n, 0, -size):
         a = max(0, b - size)
         own = np.asarray(s[max(a - 1, 0): min(b + 1, n)]).astype(np.int64)
@@ -133,11 +141,8 @@ def lms_of(s: np.ndarray, folder: str, limit: int) -> np.ndarray:
         following = np.minimum.accumulate(place[::-1])[::-1]
         up = np.append(step > 0, rising)[following]
         before = np.append(x[:1] if not a else own[:1], x[: len(step) - 1])
-        found = np.flatnonzero(up & (before > x[: len(step)])) + a
-        out[at - len(found): at] = found
-        at -= len(found)
+        yield np.flatnonzero(up & (before > x[: len(step)])) + a
         rising = bool(up[0])
-    return out[at:]
 
 
 def _scan(heap: Heap, s: np.ndarray, sign: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -172,6 +177,7 @@ def induce(s: np.ndarray, seeds: np.ndarray, folder: str, limit: int, whole: boo
     order, LMS suffixes come out by their LMS substrings.  The last symbol is the end: smaller than any other."""
     n, heap, turn = len(s), Heap(folder, limit), 0
     for p in blocks(seeds, limit):
+        p = p.astype(np.int64)
         key = np.where(p == n - 1, -1, 2 * s[p].astype(np.int64) + 1)
         heap.push(key, turn + np.arange(len(p)), p)
         turn += len(p)
@@ -194,11 +200,11 @@ def induce(s: np.ndarray, seeds: np.ndarray, folder: str, limit: int, whole: boo
 def _named(s: np.ndarray, lms: np.ndarray, order: np.ndarray, folder: str, limit: int) -> tuple[np.ndarray, int]:
     """The string of names of LMS substrings, which order lists in descending order; and how many names there are."""
     m, n = len(lms), len(s)
-    names, last, name = _mapped(folder, m), None, 0
+    names, last, name = zeros(folder, m, limit), None, 0
     for own in blocks(order, limit):
         q = own if last is None else np.append(last, own)
         i = np.searchsorted(lms, q)
-        size = np.where(i + 1 < m, lms[np.minimum(i + 1, m - 1)] - q + 1, 1)
+        size = np.where(i + 1 < m, lms[np.minimum(i + 1, m - 1)].astype(np.int64) - q + 1, 1)
         same = size[1:] == size[:-1]
         on, k = np.flatnonzero(same), 0
         while len(on):

@@ -198,7 +198,9 @@ def contexts(docs: DataFrame, factors: DataFrame, symbols: Symbols, spans, width
     is the run's anchor; runs of an anchor of more than HOT are cut into windows, with their hash for a key."""
     own = factors.where("kind = 2").select("doc_id", "rep", "start", "n", "anchor")
     hot = own.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot"))
-    own = own.withColumn("hot", F.lit(False)) if hot.isEmpty() else own.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    hot = stage(hot)
+    n_hot = hot.count()
+    own = own.join(F.broadcast(hot) if n_hot <= 1 << 18 else hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False))) if n_hot else own.withColumn("hot", F.lit(False))
     bitmap = docs.sparkSession.sparkContext.broadcast(id_bitmap(factors.where("kind = 2").select("doc_id").distinct()))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

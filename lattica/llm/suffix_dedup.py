@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import shuffle_parts, stage
-from ._external import Column, blocks, lms_of, lms_order
+from ._external import Column, blocks, lms_of, lms_order, zeros
 from ._repeats import byte_symbols, chunks, contexts, covered, joined, judge, lists, numbered, runs, with_factors
 
 FOUND = "doc_id long, rep long, start int, n int"
@@ -98,7 +98,7 @@ class InducedSorter:
     def _lms_sorted(self) -> np.ndarray:
         if len(self.lms) > self.limit:
             return lms_order(self.t, self.lms, self.folder, self.limit)
-        lms = np.asarray(self.lms)
+        lms = np.asarray(self.lms).astype(np.int64)
         m = len(lms)
         size = np.append(lms[1:], len(self.t) - 1) - lms + 1
         rank = np.zeros(m, np.int64)  # where the group of equal ones starts
@@ -181,6 +181,7 @@ class InducedSorter:
         """(symbol, positions, common prefixes) of LMS suffixes, from the smallest on."""
         last = None
         for own in blocks(self._lms_sorted(), self.limit):
+            own = own.astype(np.int64)
             common = np.zeros(len(own), np.int16)
             common[1:] = self._common(own[:-1], own[1:])
             if last is not None:
@@ -273,7 +274,7 @@ def repeated_windows(text: Column, rows: Column, width: int, folder: str, limit:
     padded = np.memmap(text.path, np.uint8, "r+")
     for a in range(0, n, 1 << 24):
         padded[a: min(n, a + (1 << 24))] += np.uint8(1)  # 0xff, which no UTF-8 text holds, becomes 0
-    marks = np.memmap(os.path.join(folder, "marks"), np.uint8, "w+", shape=(n,))
+    marks = zeros(folder, n, 16 * limit, np.uint8)
     found = Repeats(marks, width)
     for pos, lcp in InducedSorter(padded[:n], width, folder, limit, padded).descending():
         found.add(pos, lcp)
