@@ -2,10 +2,10 @@
 
 Windows are dealt to shards by their anchor (see ``_repeats``), so equal ones meet.  A shard streams the contexts it gets to
 a file, and ``InducedSorter`` orders its suffixes.  Suffixes that start a descent-then-ascent (LMS) are ordered first: by
-recursion on the string of their names, with queues on disk (``_external``), down to a string that fits in memory, which is
-sorted there by doubling.  Then two scans induce the order of all others.  What is induced waits in a queue, in order of
+recursion on the string of their names, with queues on disk (``_external``), down to a string that fits in memory (4 * limit
+for the first, limit for names), which is sorted there by doubling.  Then two scans induce the order of all others.  What is induced waits in a queue, in order of
 symbol and turn, together with its common prefix with the entry before it: 1 more than the least common prefix met since then
-in the scan.  Queues keep ``limit`` entries in memory and the rest in files; the text, the LMS suffixes, the order and the
+in the scan.  Each symbol's queue keeps ``limit`` entries in memory and the rest in files; the text, the LMS suffixes, the order and the
 marks of repeated windows are files too, so a shard may be far larger than memory.  Prefixes count up to the width, as longer
 ones change nothing; those of neighbouring LMS suffixes are compared directly.
 
@@ -96,7 +96,7 @@ class InducedSorter:
         return np.ndarray((len(self.t) + 1,), ">u8", self.padded, strides=(1,))[np.minimum(at, len(self.t))].astype(np.uint64)
 
     def _lms_sorted(self) -> np.ndarray:
-        if len(self.lms) > self.limit:
+        if len(self.lms) > 4 * self.limit:
             return lms_order(self.t, self.lms, self.folder, self.limit)
         lms = np.asarray(self.lms).astype(np.int64)
         m = len(lms)
