@@ -105,7 +105,8 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, near
         part = postings(docs, [r.term for r in own.select("term").distinct().collect()], width - 1)
         parts.append(part if b == 0 else part.where("pos >= 0"))
     index = stage(reduce(DataFrame.unionByName, parts))
-    hits = matches(index, entries, near).withColumnsRenamed({"doc_id": "_id", "row": "_row"})
+    few = entries.count() <= 100_000  # a bounded set of entries is sent to the postings; beyond that both are shuffled by term
+    hits = matches(index, F.broadcast(entries) if few else entries, near).withColumnsRenamed({"doc_id": "_id", "row": "_row"})
     d = index.where("pos < 0").select("doc_id", "row", "n_words").join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("row").eqNullSafe(F.col("_row")), "left")
     d = d.withColumn("found", F.coalesce("found", F.array().cast(hits.schema["found"].dataType)))
     exact = F.filter("found", lambda m: m["exact"])
