@@ -94,7 +94,7 @@ def distance(p: Column, q: Column) -> Column:
 def minimum_distance(positions: Column) -> Column:
     """Least pair distance of an array of points; infinite below two."""
     n = F.size(positions)
-    each = F.transform(positions, lambda p, i: F.array_min(F.transform(F.filter(positions, lambda q, j: j > i), lambda q: distance(p, q))))
+    each = F.transform(positions, lambda p, i: F.array_min(F.transform(F.slice(positions, i + 2, n), lambda q: distance(p, q))))
     return F.when(n < 2, F.lit(float("inf"))).otherwise(F.array_min(each))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import running
+
 
 def average_rank(order: Column, *partition: str) -> Column:
     """Ranks from 1; ties share their mean."""
@@ -33,18 +35,15 @@ def spearman(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
 
 def auroc(df: DataFrame, keys: list[str], y: str, s: str) -> DataFrame:
     """By ranks, ties count half; NULL with one class only."""
-    v = _by_value(df, keys, y, s)
-    w = Window.partitionBy(*keys).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    v = v.withColumn("below", F.coalesce(F.sum("n").over(w) - F.sum("pos").over(w), F.lit(0.0)))
+    v = running(_by_value(df, keys, y, s), keys, [F.col("s")], {"below": F.col("n") - F.col("pos")})
     a = v.groupBy(*keys).agg(F.sum(F.col("pos") * (F.col("below") + (F.col("n") - F.col("pos")) / 2)).alias("u"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("m"))
     return a.select(*keys, F.when((F.col("p") > 0) & (F.col("m") > 0), F.col("u") / (F.col("p") * F.col("m"))).alias("auroc"))
 
 
 def auprc(df: DataFrame, keys: list[str], y: str, s: str) -> DataFrame:
     """Average precision: steps over distinct thresholds."""
-    v = _by_value(df, keys, y, s)
-    w = Window.partitionBy(*keys).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    v = v.withColumn("precision", F.sum("pos").over(w) / F.sum("n").over(w))
+    v = running(_by_value(df, keys, y, s), keys, [-F.col("s")], {"_pos": F.col("pos"), "_n": F.col("n")})
+    v = v.withColumn("precision", (F.col("_pos") + F.col("pos")) / (F.col("_n") + F.col("n")))
     return v.groupBy(*keys).agg((F.sum(F.col("pos") * F.col("precision")) / F.sum("pos")).alias("auprc"))
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import dense_ids
+
 
 def first_seen_ids(df: DataFrame, key: str, pos: str, name: str) -> DataFrame:
-    """Dense ids in order of first occurrence.  Only distinct keys meet in the global order, pre-aggregated."""
+    """Dense ids in order of first occurrence.  Only distinct keys are put in order, by ranges."""
     first = df.groupBy(key).agg(F.min(pos).alias("_first"))
-    ids = first.withColumn(name, F.row_number().over(Window.orderBy("_first")) - 1).drop("_first")
-    return df.join(ids, key)
+    return df.join(dense_ids(first, [F.col("_first")], name).drop("_first"), key)
 
 
 def majority_vote(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -33,6 +34,13 @@ def account(df: DataFrame, reason: str) -> DataFrame:
     return df.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+def reasons_by_run(df: DataFrame, run: str, reason: str, reasons: list[str]) -> DataFrame:
+    """A row per run: rows kept, and those of each reason, 0 where a run has none."""
+    p = df.groupBy(run).pivot(reason, reasons).count()
+    kept = df.groupBy(run).agg(F.count_if(F.col(reason).isNull()).alias("kept"))
+    return kept.join(p, run).select(run, "kept", *[F.coalesce(F.col(r), F.lit(0)).alias(r) for r in reasons])
+
+
 def first_wins(df: DataFrame, key: str, *order: str) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_rn = 1").drop("_rn")
 
@@ -106,8 +114,9 @@ def changed(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
 
 def dedupe_components(df: DataFrame, content: str, ordinal: str) -> DataFrame:
     """The earliest component that has a content keeps it, with its repeats; missing contents stay."""
-    first = F.min(ordinal).over(Window.partitionBy(content))
-    return df.withColumn("_first", first).where(F.col(content).isNull() | (F.col("_first") == F.col(ordinal))).drop("_first")
+    known = df.where(F.col(content).isNotNull())
+    first = known.groupBy(content).agg(F.min(ordinal).alias(ordinal))
+    return known.join(first, [content, ordinal], "left_semi").select(df.columns).unionByName(df.where(F.col(content).isNull()))
 
 
 def cover_problems(ids: DataFrame, vectors: DataFrame, key: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """Splits and batches.  Sequential folds run over groups, which are pre-aggregated, never over rows."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.selection import draw_key
+from ..plans.selection import draw_key, smallest_keys
 
 
 def greedy_fold(groups: DataFrame, group: str, size: str, order: list[Column], train: float, valid: float, inclusive: bool = True) -> DataFrame:
@@ -43,9 +43,9 @@ def random_split(df: DataFrame, id_: str, seed: int, test: float, valid: float)
     """round(f n) rows to test, then to valid, by seeded order; halves round to even."""
     n = df.count()
     n_test, n_valid = round(test * n), round(valid * n)
-    rank = F.row_number().over(Window.orderBy(draw_key(seed, 2, id_), id_))
-    ranked = df.select(id_).withColumn("r", rank)
-    return df.join(ranked, id_).withColumn("split", F.when(F.col("r") <= n_test, "test").when(F.col("r") <= n_test + n_valid, "valid").otherwise("train")).drop("r")
+    key = draw_key(seed, 2, id_)
+    last_test, last_valid = (smallest_keys(df.select(id_), key, k) for k in (n_test, n_test + n_valid))
+    return df.withColumn("split", F.when(key <= F.lit(last_test), "test").when(key <= F.lit(last_valid), "valid").otherwise("train"))
 
 
 def any_member_test(df: DataFrame, group: str, split: str) -> DataFrame:

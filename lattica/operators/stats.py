@@ -1,7 +1,10 @@
 """Distributions, spectra and cluster statistics.  All sums are partial-and-final aggregates; only d by d results are collected."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,13 +38,28 @@ def marginal_entropy(df: DataFrame, vector: str, bins: int) -> DataFrame:
 
 
 def covariance(df: DataFrame, vector: str) -> DataFrame:
-    """(i, j, c) for i <= j, sample covariance.  d (d + 1) / 2 rows; products are summed before the shuffle."""
+    """(i, j, c) for i <= j, sample covariance.  Each partition sums its outer products to d (d + 1) / 2 rows before the shuffle."""
     n = df.count()
     means = components_of(df, vector).groupBy("dim").agg(F.avg("x").alias("m")).orderBy("dim").agg(F.array_sort(F.collect_list(F.struct("dim", "m"))).alias("a")).first().a
     mean = F.array(*[F.lit(float(r.m)) for r in means])
     d = df.select(F.zip_with(vector, mean, lambda x, m: x.cast("double") - m).alias("z"))
-    pairs = d.select(F.posexplode("z").alias("i", "zi"), "z").select("i", "zi", F.posexplode("z").alias("j", "zj")).where("i <= j")
-    return pairs.groupBy("i", "j").agg((F.sum(F.col("zi") * F.col("zj")) / (n - 1)).alias("c"))
+    size = len(means)
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, size))
+        for batch in batches:
+            z = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            total += z.T @ z
+        i, j = np.triu_indices(size)
+        yield pa.RecordBatch.from_pydict({"i": i.astype(np.int32), "j": j.astype(np.int32), "s": total[i, j]})
+
+    return d.mapInArrow(outer, "i int, j int, s double").groupBy("i", "j").agg((F.sum("s") / (n - 1)).alias("c"))
+
+
+def vector_problems(df: DataFrame, id_: str, vector: str, size: int) -> DataFrame:
+    """Rows, and how many have a wrong size, a component that isn't finite, or an id that was there before."""
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return df.agg(F.count("*").alias("rows"), F.count_if(F.size(vector) != size).alias("wrong_size"), F.count_if(bad).alias("not_finite"), (F.count("*") - F.countDistinct(id_)).alias("repeated"))
 
 
 def participation_ratio(cov: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stage
+
 STEPS: dict[str, Callable] = {}
 
 
@@ -21,6 +23,27 @@ def draw_key(seed: int, stream: int, *ids: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(stream)), *[F.col(i).cast("string") for i in ids]).cast("binary"))
 
 
+def smallest_keys(ids: DataFrame, key: Column, want: int, few: int = 4096) -> str:
+    """The want-th smallest of the keys of distinct ids ('' for none), by counts of their prefixes: 4 more characters at a time,
+    until the prefix that holds it has few keys."""
+    if want <= 0:
+        return ""
+    d, prefix = ids.select(key.alias("k")), ""
+    while True:
+        own = d.where(F.col("k").startswith(prefix)) if prefix else d
+        counts = own.groupBy(F.substring("k", 1, len(prefix) + 4).alias("p")).count().collect()
+        before = 0
+        for r in sorted(counts, key=lambda r: r.p):
+            if before + r["count"] >= want:
+                break
+            before += r["count"]
+        else:
+            raise ValueError(f"fewer than {want} keys")
+        prefix, want, found = r.p, want - before, r["count"]
+        if found <= few or len(prefix) >= 32:
+            return sorted(x.k for x in d.where(F.col("k").startswith(prefix)).collect())[want - 1]
+
+
 def exact_floor(fraction: float, n: int) -> int:
     return int((Decimal(repr(fraction)) * n).to_integral_value(ROUND_FLOOR))
 
@@ -55,14 +78,14 @@ def top_k_per_group(df: DataFrame, group: str, rank: str, k: int, minimum: float
 
 @step
 def random_groups(df: DataFrame, group: str, seed: int, stream: int = 0, count: int | None = None, fraction: float | None = None) -> DataFrame:
-    """A seeded draw of whole groups; a count that isn't there is an error."""
-    ids = df.select(group).distinct()
-    n = ids.count() if fraction is not None or count is not None else 0
+    """A seeded draw of whole groups; a count that isn't there is an error.  Groups whose key is no larger than the wanted one's
+    are kept by a filter: nothing is sorted or joined."""
+    ids, key = stage(df.select(group).distinct()), draw_key(seed, stream, group)
+    n = ids.count()
     want = count if count is not None else exact_floor(fraction, n)
     if want > n:
         raise ValueError(f"{want} groups wanted, {n} there")
-    drawn = ids.orderBy(draw_key(seed, stream, group), group).limit(want)
-    return df.join(drawn, group, "left_semi")
+    return df.where(key <= F.lit(smallest_keys(ids, key, want)))
 
 
 def turn_times(rank: Column, size: Column, weighting: str, offset: float = 1.0) -> Column:
