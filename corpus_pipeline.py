@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences: five stages, each written as Parquet and read again.
 
-Stages take (spark, docs, sf_dir) and return documents with their columns, but for the last, which returns the packing.
-Rows with a null doc_id go in the second stage, as they can't be told apart.
+Stages take (spark, docs, sf_dir) and return documents with their columns, but for the last, which returns the packing.  Every
+stage takes empty tables, null and empty texts, null ids, repeated rows and columns of any other names: rows are kept or go by
+what their stage says, and other columns go along.  A null or empty text fails the base rule of the first stage.
 """
 from __future__ import annotations
 
@@ -22,9 +23,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by word-shingle similarity, the document of smallest id."""
+    """Of each group linked by word-shingle similarity, the document of smallest id.  Rows that share an id count as one
+    document: they stay or go together, but of those with equal texts one stays.  Rows without an id stay."""
     first = ngram_join.jaccard_join(docs).where("component_id = doc_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").select(docs.columns)
+    kept = docs.join(first, "doc_id", "left_semi").select(docs.columns)
+    named = docs.where(F.col("doc_id").isNotNull())
+    if not named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
