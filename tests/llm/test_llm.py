@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import _external, _graph, _repeats, decontamination, language_id, lm_score, ngram_join, packing, pii, quality_rules, rlz_dedup, suffix_dedup, toxicity
+from lattica.llm import _common, _external, _graph, _repeats, decontamination, language_id, lm_score, ngram_join, packing, pii, quality_rules, rlz_dedup, suffix_dedup, toxicity
 from lattica.llm.queries import QUERIES, tokenizer
 
 from . import brute
@@ -409,6 +409,26 @@ def test_on_tables(spark, name):
     assert rows(QUERIES[name](spark, DATA), *columns) == want
 
 
+def test_stages_on_awkward_rows(spark):
+    import corpus_pipeline
+
+    r = random.Random(12)
+    words = [" ".join(f"t{r.randint(0, 500)}" for _ in range(60)) for _ in range(4)]
+    own = [(1, words[0]), (1, words[0]), (2, words[0] + " tail"), (None, words[1]), (None, words[1]), (5, None), (6, ""), (7, words[2] + " mail me a.b@c.org now"), (8, words[3])]
+    extra = {c: F.lit("x") for c in ("n", "token", "words", "component_id", "kept", "email", "spans", "row", "n_words", "length", "rule")}
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in own], "doc_id long, text string, lang string, source string, n_chars long").withColumns(extra)
+    left = []
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        assert f(spark, d.where("false"), DATA).collect() == []
+        d = _common.stage(f(spark, d, DATA))
+        assert set(extra) <= set(d.columns)
+        left.append(sorted((x.doc_id or 0) for x in d.collect()))
+    assert left == [[0, 0, 1, 1, 2, 7, 8], [0, 0, 1, 7, 8], [0, 0, 1, 7, 8], [0, 0, 1, 7, 8]]
+    assert d.where("doc_id = 7").first().text == words[2] + " mail me [EMAIL] now"
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, d, DATA).count() == 5 and last(spark, d.where("false"), DATA).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
