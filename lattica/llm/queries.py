@@ -15,6 +15,7 @@ from . import rlz_dedup as rlz
 from . import suffix_dedup as sd
 from . import toxicity as tx
 from ._common import table
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +63,7 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = rlz.rlz_dedup(table(spark, sf_dir, "documents"))
-    return d.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), F.size("factors").alias("n_factors"))
+    return d.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,4 +83,3 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_quality_rules, op3_lm_score, op4_ngram_join, op5_rlz_dedup, op6_packing, op7_decontamination, op8_pii, op9_suffix_dedup, op10_toxicity, pipeline)}
-ORACLE_SQL: dict[str, str] = {}

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.llm import _common, _external, _graph, _repeats, decontamination, language_id, lm_score, ngram_join, packing, pii, quality_rules, rlz_dedup, suffix_dedup, toxicity
-from lattica.llm.queries import QUERIES, tokenizer
+from lattica.llm.queries import ORACLE_SQL, QUERIES, tokenizer
 
 from . import brute
 
@@ -409,6 +409,31 @@ def test_on_tables(spark, name):
     assert rows(QUERIES[name](spark, DATA), *columns) == want
 
 
+@pytest.mark.parametrize("name", list(ORACLE_SQL))
+def test_sql(spark, docs, items, tmp_path, name):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for folder, files in ((DATA, ""), (tmp_path, "/*.parquet")):
+        sql = duckdb.connect()
+        for t in ("documents", "benchmark"):
+            sql.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet{files}'")
+        df = QUERIES[name](spark, str(folder))
+        want = sql.sql(ORACLE_SQL[name])
+        assert sorted(want.columns) == sorted(df.columns)
+        assert sorted(map(tuple, df.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_base_columns_on_tables(spark):
+    own = duckdb.sql(f"SELECT doc_id, text FROM '{DATA}/documents.parquet'").fetchall()
+    quality = rows(QUERIES["op2_quality_rules"](spark, DATA), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert quality == {i: brute.quality(t) for i, t in own}
+    private = rows(QUERIES["op8_pii"](spark, DATA), "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+    assert private == {i: brute.pii(t) for i, t in own}
+    got, want = rows(QUERIES["op3_lm_score"](spark, DATA), "held_out", "n_tokens", "n_known", "train_tokens", "base_score"), brute.lm(own)
+    assert {i: r[:4] for i, r in got.items()} == {i: r[:4] for i, r in want.items()}
+    assert all(abs(got[i][4] - want[i][4]) <= 1e-9 * max(1, abs(want[i][4])) for i in want)
+
+
 def test_stages_on_awkward_rows(spark):
     import corpus_pipeline
 
