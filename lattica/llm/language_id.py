@@ -7,8 +7,9 @@ of text posteriors.  Priors are smoothed down a hierarchy, all data, suffix, dom
 of text posteriors) are topped up with ``strength`` pages of the level above.  A page's own posterior is taken out of its
 counts, so it never votes for itself.
 
-The text model is fitted on at most ``max_documents`` labelled documents (smallest crc32 of their id).  Groups are joined,
-never collected; a hot host is one row of its aggregate.
+The text model is fitted on at most ``max_documents`` labelled documents (smallest crc32 of their id), counted on the driver
+one at a time.  Trigrams come from whole words, so a script without spaces is read in full.  Groups are joined, never
+collected; a hot host is one row of its aggregate.
 
 Nulls: null html is an empty page and has no declaration; a null address has the empty host.  Documents with a null
 language or text teach nothing.  With no labelled documents the language is null.
@@ -39,8 +40,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     buf, offs = pack(pa.array(texts, pa.string()))
     starts, ends, before = word_spans(buf := LOWER[buf], offs, APART)
     words = word_hashes(buf, starts, ends)
-    size = np.minimum(ends - starts, 12)
-    n = np.maximum(size - 2, 0)
+    n = np.maximum(ends - starts - 2, 0)
     at = np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else starts, n) + np.arange(int(n.sum()))
     grams = word_hashes(buf, at, at + 3)
     doc = np.repeat(np.arange(len(texts)), np.diff(before))
@@ -53,27 +53,27 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def fit_text(docs: DataFrame, max_documents: int) -> tuple[list[str], np.ndarray]:
     """Languages, and log P(bucket | language) less its mean over languages."""
     own = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull()).select("doc_id").orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(max_documents)
-    rows = [(r.lang, r.text) for r in docs.select("doc_id", "lang", "text").join(F.broadcast(own), "doc_id").toLocalIterator() if r.lang and r.text]
-    langs = sorted({x for x, _ in rows})
-    counts = np.full((BUCKETS, len(langs)), 0.5)
-    for i, lang in enumerate(langs):
-        h, _ = features([t for x, t in rows if x == lang])
-        counts[:, i] += np.bincount(h, minlength=BUCKETS)
+    found: dict[str, np.ndarray] = {}
+    for r in docs.select("doc_id", "lang", "text").join(F.broadcast(own), "doc_id").toLocalIterator():
+        if r.lang and r.text:  # counted as they come, none is held
+            found[r.lang] = found.get(r.lang, 0) + np.bincount(features([r.text])[0], minlength=BUCKETS)
+    langs = sorted(found)
+    counts = np.stack([0.5 + found[x] for x in langs], 1) if langs else np.zeros((BUCKETS, 0))
     logs = np.log(counts / counts.sum(0)) if langs else counts
     return langs, logs - (logs.mean(1, keepdims=True) if langs else 0)
 
 
 def _read(pages: DataFrame, langs: list[str], logs: np.ndarray, temper: float) -> DataFrame:
-    shared = pages.sparkSession.sparkContext.broadcast(logs.astype(np.float32))
+    shared = pages.sparkSession.sparkContext.broadcast(np.ascontiguousarray(logs.T, np.float32))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, _, part in chunks(batch):  # so many bytes at a time
                 html = [x or "" for x in part.column(2).to_pylist()]
                 h, at = features([_ENTITY.sub(" ", _HIDDEN.sub(" ", x)) for x in html])
-                total = np.concatenate([np.zeros((1, len(langs))), np.cumsum(shared.value[h], axis=0, dtype=np.float64)]) if len(h) else np.zeros((1, len(langs)))
-                z = total[at[1:]] - total[at[:-1]]
-                z *= temper * np.minimum(1, 60 / np.maximum(np.diff(at), 1) * np.sqrt(np.maximum(np.diff(at), 1) / 60))[:, None]
+                page = np.repeat(np.arange(len(html)), np.diff(at))
+                z = np.stack([np.bincount(page, of[h], len(html)) for of in shared.value], 1)
+                z = z * temper * np.minimum(1, 60 / np.maximum(np.diff(at), 1) * np.sqrt(np.maximum(np.diff(at), 1) / 60))[:, None]
                 e = np.exp(z - z.max(1, keepdims=True)) if len(z) else z
                 e /= e.sum(1, keepdims=True)
                 declared = [m[1].lower() if (m := _DECLARED.search(x)) else None for x in html]

@@ -400,6 +400,15 @@ def test_language(spark):
     assert language_id.identify(pages, spark.createDataFrame([], "doc_id long, text string, lang string")).where("lang IS NULL").count() == 52
 
 
+def test_language_reads_words_whole():
+    texts = ["ab cdefghijklmnopqrstuvwxyz", "", "日本語の文章には空白がない", "a b", "x" * 5000]
+    h, at = language_id.features(texts)
+    want = [sum(1 + max(len(w.encode()) - 2, 0) for w in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", x)) for x in texts]
+    assert np.diff(at).tolist() == want and len(h) == sum(want)
+    one = [language_id.features([x])[0] for x in texts]
+    assert all(sorted(h[a:b].tolist()) == sorted(o.tolist()) for a, b, o in zip(at, at[1:], one))
+
+
 @pytest.mark.parametrize("name", ["op4_ngram_join", "op5_rlz_dedup", "op7_decontamination", "op9_suffix_dedup"])
 def test_on_tables(spark, name):
     own = duckdb.sql(f"SELECT doc_id, text FROM '{DATA}/documents.parquet'").fetchall()
