@@ -198,3 +198,40 @@ def plot_colours(spark, d):
     p = t(spark, d, "part", "p_partkey", "p_size")
     place = lambda names, c: F.array_position(F.array(*map(F.lit, names)), c).cast("int") - 1
     return p.select("p_partkey", place(["small", "medium", "large"], X.size_band(F.col("p_size"))).alias("size"), place(["main", "3d", "4d", "5d", "4f", "5f"], X.element_block(F.col("p_partkey") % 110)).alias("block"))
+
+
+_PANEL = "SELECT l_returnflag, l_suppkey, l_linenumber AS model, sum(l_quantity) AS score FROM lineitem GROUP BY ALL"
+_CELLS = f"""panel AS ({_PANEL}), capacity AS (SELECT l_linenumber AS model, round(sum(l_tax * 100 + 1)) % 97 AS d_eff FROM lineitem GROUP BY 1),
+  whole AS (SELECT l_returnflag, l_suppkey FROM panel GROUP BY ALL HAVING count(DISTINCT model) >= (SELECT count(*) FROM capacity) AND count(DISTINCT score) >= 3),
+  x AS (SELECT * FROM panel JOIN whole USING (l_returnflag, l_suppkey) JOIN capacity USING (model)),
+  r AS (SELECT l_returnflag, l_suppkey, rank() OVER (PARTITION BY l_returnflag, l_suppkey ORDER BY score) + (count(*) OVER (PARTITION BY l_returnflag, l_suppkey, score) - 1) / 2.0::DOUBLE AS a,
+    rank() OVER (PARTITION BY l_returnflag, l_suppkey ORDER BY d_eff) + (count(*) OVER (PARTITION BY l_returnflag, l_suppkey, d_eff) - 1) / 2.0::DOUBLE AS b FROM x),
+  cells AS (SELECT l_returnflag, l_suppkey, round(corr(a, b), 6) AS spearman FROM r GROUP BY ALL)"""
+
+
+def _correlated(spark, d):
+    x = t(spark, d, "lineitem", "l_returnflag", "l_suppkey", "l_linenumber", "l_quantity", "l_tax").withColumnRenamed("l_linenumber", "model")
+    panel = x.groupBy("l_returnflag", "l_suppkey", "model").agg(F.sum("l_quantity").alias("score"))
+    capacity = x.groupBy("model").agg((F.round(F.sum(F.col("l_tax") * 100 + 1)) % 97).alias("d_eff"))
+    return E.correlate_cells(panel, capacity, ["l_returnflag", "l_suppkey"], "model", "score", "d_eff").withColumn("spearman", F.round("spearman", 6))
+
+
+@query(f"WITH {_CELLS} SELECT l_returnflag, l_suppkey, spearman FROM cells")
+def capacity_correlation(spark, d):
+    return _correlated(spark, d)
+
+
+@query(f"WITH {_CELLS}, g AS (SELECT 'all' AS \"group\", spearman AS v FROM cells UNION ALL SELECT 'l_returnflag=' || l_returnflag, spearman FROM cells) SELECT \"group\", round(median(v), 6) AS median, round(avg(v), 6) AS mean, round(avg(CASE WHEN v > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS share_positive, count(*) AS n FROM g GROUP BY 1")
+def capacity_summary(spark, d):
+    s = E.summary_by_kind(_correlated(spark, d), "l_returnflag", "spearman")
+    return s.select("group", *[F.round(c, 6).alias(c) for c in ("median", "mean", "share_positive")], "n")
+
+
+@query("SELECT l_orderkey, n >= 3 AND n <= 6 AND o_custkey % 4 < 2 AND o_custkey % 3 = 1 AND elements AND isotopes AS passes FROM (SELECT l_orderkey, count(*) AS n, bool_and(l_linenumber % 9 + 1 IN (2, 3, 4, 5, 6, 7)) AS elements, bool_and(l_linenumber % 9 + 1 <> 9) AS isotopes FROM lineitem GROUP BY 1) JOIN orders ON o_orderkey = l_orderkey")
+def molecule_gates(spark, d):
+    o = t(spark, d, "orders", "o_orderkey", "o_custkey").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    f = frames(spark, d).drop("positions").join(o, "l_orderkey")
+    zeros = F.transform("numbers", lambda z: F.lit(0))
+    isotopes = F.transform("numbers", lambda z: F.when(z == 9, 18).otherwise(0))
+    gates = X.molecule_gates(F.col("numbers"), F.col("o_custkey") % 4, F.col("o_custkey") % 3 - 1, zeros, isotopes, most_atoms=6, elements=[2, 3, 4, 5, 6, 7], charged=False, radical=False)
+    return f.select("l_orderkey", gates.alias("passes"))

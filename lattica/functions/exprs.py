@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -118,3 +119,25 @@ def geometry_violations(numbers: Column, minimum: Column, rules: dict[str, float
 def first_reason(*reasons: Column) -> Column:
     """The first reason that isn't null."""
     return F.coalesce(*reasons)
+
+
+def molecule_gates(numbers: Column, fragments: Column, charge: Column, radicals: Column, isotopes: Column, *, most_atoms: int | None = 100,
+                   elements: list[int] | None = None, charged: bool = True, radical: bool = True, isotope: bool = False, several: bool = False) -> Column:
+    """Whether a molecule passes: three atoms at least, most_atoms at most, its elements, and what else isn't allowed.  The last two
+    features are arrays, an entry for each atom; a molecule that couldn't be read (a null feature) doesn't pass."""
+    n = F.size(numbers)
+    gates = [n >= 3]
+    if most_atoms is not None:
+        gates.append(n <= most_atoms)
+    if not several:
+        gates.append(fragments <= 1)
+    if not charged:
+        gates.append(charge == 0)
+    if elements is not None:
+        gates.append(F.forall(numbers, lambda z: z.isin(elements)))
+    if not radical:
+        gates.append(F.forall(radicals, lambda r: r == 0))
+    if not isotope:
+        gates.append(F.forall(isotopes, lambda i: i == 0))
+    read = reduce(lambda a, b: a & b, (x.isNotNull() for x in (numbers, fragments, charge, radicals, isotopes)))
+    return F.coalesce(read & reduce(lambda a, b: a & b, gates), F.lit(False))

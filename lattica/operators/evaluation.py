@@ -162,3 +162,19 @@ def capacity_diagnostic(df: DataFrame, vector: str, drop_above: float | None = N
     z = F.zip_with(F.zip_with(vector, F.array(*[F.lit(float(r.m)) for r in s]), lambda a, m: a.cast("double") - m), F.array(*[F.lit(float(r.s) if r.s and r.s > 1e-12 else 1.0) for r in s]), lambda a, v: a / v)
     unit = d.select(z.alias("_z")).select(X.l2_normalize(F.col("_z")).alias("z"))
     return ST.participation_ratio(ST.covariance(unit, "z")).withColumn("n", F.lit(d.count()))
+
+
+def correlate_cells(panel: DataFrame, capacity: DataFrame, cell: list[str], model: str, score: str, measure: str, distinct: int = 3) -> DataFrame:
+    """Spearman of a measure of models with their oriented scores, by cell: only cells that score every model, with so many distinct
+    scores at least.  The table of capacity has a row for each model; panels hold a row for each cell and model."""
+    whole = panel.groupBy(*cell).agg(F.countDistinct(model).alias("_models"), F.countDistinct(score).alias("_scores"))
+    every = capacity.agg(F.countDistinct(model).alias("_all"))
+    fit = whole.join(F.broadcast(every)).where((F.col("_models") >= F.col("_all")) & (F.col("_scores") >= distinct)).select(*cell)  # one row is broadcast
+    return M.spearman(panel.join(fit, cell).join(capacity.select(model, measure), model), cell, measure, score)
+
+
+def summary_by_kind(cells: DataFrame, kind: str, value: str) -> DataFrame:
+    """Median, mean, share above 0 and count of the values that exist, of all cells ("all") and by kind."""
+    d = cells.where(F.col(value).isNotNull() & ~F.isnan(value))
+    own = d.select(F.explode(F.array(F.lit("all"), F.concat(F.lit(f"{kind}="), F.col(kind).cast("string")))).alias("group"), F.col(value).alias("_v")).where("group IS NOT NULL")
+    return own.groupBy("group").agg(F.median("_v").alias("median"), F.avg("_v").alias("mean"), F.avg((F.col("_v") > 0).cast("double")).alias("share_positive"), F.count("*").alias("n"))
