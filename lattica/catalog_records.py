@@ -206,14 +206,14 @@ _CELLS = f"""panel AS ({_PANEL}), capacity AS (SELECT l_linenumber AS model, rou
   x AS (SELECT * FROM panel JOIN whole USING (l_returnflag, l_suppkey) JOIN capacity USING (model)),
   r AS (SELECT l_returnflag, l_suppkey, rank() OVER (PARTITION BY l_returnflag, l_suppkey ORDER BY score) + (count(*) OVER (PARTITION BY l_returnflag, l_suppkey, score) - 1) / 2.0::DOUBLE AS a,
     rank() OVER (PARTITION BY l_returnflag, l_suppkey ORDER BY d_eff) + (count(*) OVER (PARTITION BY l_returnflag, l_suppkey, d_eff) - 1) / 2.0::DOUBLE AS b FROM x),
-  cells AS (SELECT l_returnflag, l_suppkey, round(corr(a, b), 6) AS spearman FROM r GROUP BY ALL)"""
+  cells AS (SELECT l_returnflag, l_suppkey, round(corr(a, b), 6) + 0.0 AS spearman FROM r GROUP BY ALL)"""
 
 
 def _correlated(spark, d):
     x = t(spark, d, "lineitem", "l_returnflag", "l_suppkey", "l_linenumber", "l_quantity", "l_tax").withColumnRenamed("l_linenumber", "model")
     panel = x.groupBy("l_returnflag", "l_suppkey", "model").agg(F.sum("l_quantity").alias("score"))
     capacity = x.groupBy("model").agg((F.round(F.sum(F.col("l_tax") * 100 + 1)) % 97).alias("d_eff"))
-    return E.correlate_cells(panel, capacity, ["l_returnflag", "l_suppkey"], "model", "score", "d_eff").withColumn("spearman", F.round("spearman", 6))
+    return E.correlate_cells(panel, capacity, ["l_returnflag", "l_suppkey"], "model", "score", "d_eff").withColumn("spearman", F.round("spearman", 6) + F.lit(0.0))  # no zero below 0
 
 
 @query(f"WITH {_CELLS} SELECT l_returnflag, l_suppkey, spearman FROM cells")
