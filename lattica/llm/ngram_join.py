@@ -6,15 +6,19 @@ Set relations save work at three levels (set-relation skipping).
 
 *Index.* Sets are lists of shingle hashes in one order.  A pair of at least the similarity shares L(n) of the first
 n - ceil(0.8 n) + L(n) hashes of either, so only those are dealt out; hashes that occur once are skipped, and sets with too
-few others can have no partner.  Of the rest each set enters the lists of its rarest hashes only, as many as make a common
-list certain.  Lists stand in order of set size and are skipped through in blocks: a block ends where sets get too large
-for its head.
-
-*Answers.* In a block all sets are compared with its head, not with each other: those that match it have its answers,
+few others can have no partner.  Of the rest, in order of rarity, each set enters the lists of the first only, as many as make
+a common list certain.  An entry holds the set's size and the hash's position: how many of the set's dealt hashes stand
+before it and after it.  Two entries of a list can share no more hashes than the fewer before, the fewer after and this one;
+where that is less than L of the smaller, the sets aren't linked.  Lists stand in order of set size and position and are
+skipped through in blocks: a block ends where sets get too large for its head, and the runs in it whose position rules the
+head out are passed over without a look at the sets.
+
+*Answers.* In a block the other sets are compared with its head, not with each other: those that match it have its answers,
 their component.  Lists that hold several components get further heads while these join much.  What is left are pairs of
 one list whose components still differ.  They are derived from the answers
 of the heads: distance (1 - similarity) is a metric, so a pair is skipped if its distances from a common head differ by
-more than 0.2, or if parity sketches of the sets differ in more bits than sets so similar can; all others are compared.
+more than 0.2, if their positions rule them out, or if parity sketches of the sets differ in more bits than sets so similar can; all
+others are compared.
 
 Every comparison is exact on whole sets of 64-bit shingle hashes.  No list, block or partner count is capped.
 
@@ -164,26 +168,29 @@ def _shared(dealt: DataFrame, parts: int) -> DataFrame:
 
 
 def _rarest(shared: DataFrame, standing_for: DataFrame) -> DataFrame:
-    """The lists that each set enters: (token, doc_id, n).  standing_for: (doc_id, first) names each set by its first document."""
+    """The lists that each set enters, with its place in them: (token, doc_id, n, before, after).  before and after count the
+    dealt hashes of the set around this one.  standing_for: (doc_id, first) names each set by its first document."""
     n = F.col("n").cast("long")
     least = F.ceil(n * SHARE / 100)
     dealt = F.least(n, n - least + F.greatest(F.lit(1), F.floor(3 * n / 10)))
     common = F.greatest(F.lit(1), F.floor(3 * least / 10))
     each = shared.groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
     enter = (F.size("t") - common + 1).cast("int")  # unique tokens, which stand first, are skipped
-    each = each.where(enter > 0).select("doc_id", "n", F.slice("t", F.lit(1), enter).alias("t")).join(standing_for, "doc_id")
-    return each.select(F.explode("t").alias("t"), "first", "n").select("t.token", F.col("first").alias("doc_id"), "n").distinct()
+    each = each.where(enter > 0).select("doc_id", "n", F.size("t").alias("of"), F.slice("t", F.lit(1), enter).alias("t")).join(standing_for, "doc_id")
+    rows = each.select(F.posexplode("t").alias("before", "t"), "first", "n", "of")
+    return rows.select("t.token", F.col("first").alias("doc_id"), "n", "before", (F.col("of") - 1 - F.col("before")).alias("after")).distinct()
 
 
 def _heads(lists: DataFrame, parts: int) -> DataFrame:
-    """(token, head, doc_id, near): each block's head with the sets after it; the head with itself.  near: by its size the set
-    may be linked to the one before it in the list, which heads of blocks of one set can be too."""
+    """(token, head, doc_id, before, after, near, skip): each block's head with the sets after it; the head with itself.  near:
+    by its size the set may be linked to the one before it in the list, which heads of blocks of one set can be too.  skip: by
+    its position it can't be linked to the head."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = head = limit = last = None
+        token = head = limit = last = most = first = rest = None
         for batch in batches:
-            t, d, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            out, near = np.empty(len(t), np.int64), np.zeros(len(t), bool)
+            t, d, n, before, after = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            out, near, skip = np.empty(len(t), np.int64), np.zeros(len(t), bool), np.zeros(len(t), bool)
             near[1:] = (t[1:] == t[:-1]) & (100 * n[:-1].astype(np.int64) >= SHARE * n[1:].astype(np.int64))
             if len(t):
                 near[0] = t[0] == token and 100 * last >= SHARE * int(n[0])
@@ -194,12 +201,16 @@ def _heads(lists: DataFrame, parts: int) -> DataFrame:
                 while i < b:  # a block at a time
                     if t[i] != token or n[i] > limit:
                         token, head, limit = t[i], d[i], 100 * int(n[i]) // SHARE
+                        most, first, rest = int(_level(n[i : i + 1])[0]), before[i], after[i]
                     j = i + int(np.searchsorted(n[i:b], limit, side="right"))
                     out[i:j] = head
+                    # the head is the smaller of its block: a link shares its level of dealt hashes at least
+                    skip[i:j] = (d[i:j] != head) & (np.minimum(before[i:j], first) + 1 + np.minimum(after[i:j], rest) < most)
                     i = j
-            yield pa.RecordBatch.from_pydict({"token": t, "head": out, "doc_id": d, "near": near})
+            yield pa.RecordBatch.from_pydict({"token": t, "head": out, "doc_id": d, "before": before, "after": after, "near": near, "skip": skip})
 
-    return lists.repartition(parts, "token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(stream, "token long, head long, doc_id long, near boolean")
+    rows = lists.select("token", "doc_id", "n", "before", "after").repartition(parts, "token").sortWithinPartitions("token", "n", "before", "after", "doc_id")
+    return rows.mapInArrow(stream, "token long, head long, doc_id long, before int, after int, near boolean, skip boolean")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -236,8 +247,8 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     first = stage(own.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id")))
     standing_for = own.join(first.withColumnRenamed("doc_id", "first"), "sid").select("doc_id", "first")
     headed = stage(_heads(_rarest(_shared(_dealt(docs), parts), standing_for), parts))
-    pairs = headed.where("head <> doc_id").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
-    # whoever may have a partner by size: those of pairs, and heads of blocks of one set that are near the block before
+    pairs = headed.where("head <> doc_id AND NOT skip").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
+    # whoever may have a partner by size: those of pairs, and those near the set before them in a list
     wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(headed.where("near").select("doc_id")).distinct())
     sets = stage(_whole_sets(docs, wanted))
     known = stage(_compared(pairs, sets))
@@ -262,32 +273,39 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
 
 def _mixed(headed: DataFrame, known: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
-    """The lists that hold several components: (token, head, doc_id, component, n, far, sketch); far: distance from the head."""
+    """The lists that hold several components: (token, head, doc_id, component, n, before, after, far, sketch); far: distance
+    from the head, null if they were not compared."""
     size = sets.select("doc_id", F.size("hashes").alias("n"), "sketch")
     rows = headed.join(label.select(F.col("v").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     lists = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
     far = known.select(F.col("a").alias("head"), F.col("b").alias("doc_id"), (1 - F.col("both") / F.col("either")).alias("far"))
     m = rows.join(lists, "token").join(far, ["head", "doc_id"], "left").join(size, "doc_id")
-    return stage(m.select("token", "head", "doc_id", "component", "n", F.coalesce("far", F.lit(0.0)).alias("far"), "sketch"))
+    far = F.when(F.col("head") == F.col("doc_id"), F.lit(0.0)).otherwise(F.col("far"))
+    return stage(m.select("token", "head", "doc_id", "component", "n", "before", "after", far.alias("far"), "sketch"))
+
+
+ENTRY = ("doc_id", "component", "n", "before", "after", "sketch")
 
 
 def _sides(m: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
-    x, y = (m.select("token", *[F.col(c).alias(f"{k}_{c}") for c in ("doc_id", "component", "n", "sketch", *columns)]) for k in "xy")
+    x, y = (m.select("token", *[F.col(c).alias(f"{k}_{c}") for c in (*ENTRY, *columns)]) for k in "xy")
     return x, y
 
 
 def _possible() -> Column:
-    """Different components, and neither sizes nor sketches rule a link out."""
+    """Different components, and neither sizes nor positions nor sketches rule a link out."""
     differ = sum((F.bit_count(F.get("x_sketch", F.lit(i)).bitwiseXOR(F.get("y_sketch", F.lit(i)))) for i in range(1, SKETCH // 64)), F.bit_count(F.get("x_sketch", F.lit(0)).bitwiseXOR(F.get("y_sketch", F.lit(0)))))
     sizes = 100 * F.least("x_n", "y_n") >= SHARE * F.greatest("x_n", "y_n")
-    return (F.col("x_component") != F.col("y_component")) & sizes & ((100 + SHARE) * differ <= (100 - SHARE) * (F.col("x_n") + F.col("y_n")))
+    shared = F.least("x_before", "y_before") + 1 + F.least("x_after", "y_after")
+    places = shared >= F.greatest(F.lit(1), F.floor(3 * F.least("x_n", "y_n") / 10))
+    return (F.col("x_component") != F.col("y_component")) & sizes & places & ((100 + SHARE) * differ <= (100 - SHARE) * (F.col("x_n") + F.col("y_n")))
 
 
 def _other_heads(m: DataFrame, again: int) -> DataFrame:
     """One more head for each list, in pseudo-random turn, with the sets it may be linked to."""
     turn = F.xxhash64("token", "doc_id", F.lit(again))
-    row = F.struct(*[F.col(c) for c in ("doc_id", "component", "n", "sketch")])
-    head = m.groupBy("token").agg(F.min_by(row, turn).alias("x")).select("token", *[F.col(f"x.{c}").alias(f"x_{c}") for c in ("doc_id", "component", "n", "sketch")])
+    row = F.struct(*[F.col(c) for c in ENTRY])
+    head = m.groupBy("token").agg(F.min_by(row, turn).alias("x")).select("token", *[F.col(f"x.{c}").alias(f"x_{c}") for c in ENTRY])
     return head.join(_sides(m)[1], "token").where(_possible()).select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
 
 
@@ -295,6 +313,6 @@ def _open_pairs(m: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs of one list in different components which sizes, sketches and distances from heads don't rule out."""
     x, y = _sides(m, "head", "far")
     apart = 1 - SHARE / 100 + 1e-9
-    near = (F.col("x_head") != F.col("y_head")) | (F.abs(F.col("x_far") - F.col("y_far")) <= apart)
+    near = (F.col("x_head") != F.col("y_head")) | F.coalesce((F.abs(F.col("x_far") - F.col("y_far")) <= apart), F.lit(True))
     pairs = x.join(y, "token").where((F.col("x_doc_id") < F.col("y_doc_id")) & near & _possible()).select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct()
     return pairs.join(known.select("a", "b"), ["a", "b"], "left_anti").join(known.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")

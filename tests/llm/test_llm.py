@@ -188,6 +188,34 @@ def test_jaccard_of_sets_that_head_blocks_alone(spark):
     assert rows(ngram_join.jaccard_join(d), "n_shingles", "component_id") == want
 
 
+def test_jaccard_by_positions(spark, monkeypatch):
+    r = random.Random(17)
+    passages = [[f"p{i}x{j}" for j in range(r.randint(15, 40))] for i in range(30)]
+    made = []
+    for _ in range(120):  # documents of shared passages: their lists are full of entries at other positions
+        words = [w for i in r.sample(range(30), r.randint(2, 5)) for w in passages[i]]
+        words += [f"own{r.randint(0, 10**6)}" for _ in range(r.randint(0, len(words) // 2))]
+        for _ in range(r.randint(1, 3)):
+            w = list(words)
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(len(w))] = f"e{r.randint(0, 10**6)}"
+            made.append(" ".join(w))
+    made = list(enumerate(made))
+    d = spark.createDataFrame(made, "doc_id long, text string").repartition(5)
+    plain, skipped = ngram_join._heads, []
+
+    def heads(lists, parts):
+        out = plain(lists, parts)
+        skipped.extend(out.where("skip").select("head", "doc_id").distinct().collect())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_heads", heads)
+    assert rows(ngram_join.jaccard_join(d), "n_shingles", "component_id") == brute.components(made)
+    sets = {i: {tuple(t.split()[k: k + 5]) for k in range(len(t.split()) - 4)} for i, t in made}
+    assert skipped
+    assert all(100 * len(sets[a] & sets[b]) < 80 * len(sets[a] | sets[b]) for a, b in skipped)
+
+
 def test_components(spark):
     r = random.Random(1)
     links = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)]
