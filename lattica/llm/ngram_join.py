@@ -164,7 +164,7 @@ def _shared(dealt: DataFrame, parts: int) -> DataFrame:
         if held and len(held[0]) > 1:
             yield pa.RecordBatch.from_pydict({"doc_id": held[1], "n": held[2], "token": held[0], "df": np.full(len(held[0]), len(held[0]), np.int32)})
 
-    return dealt.repartition(parts, "token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(stream, "doc_id long, n int, token long, df int")
+    return dealt.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(stream, "doc_id long, n int, token long, df int")
 
 
 def _rarest(shared: DataFrame, standing_for: DataFrame) -> DataFrame:
