@@ -187,27 +187,34 @@ def _heads(lists: DataFrame, parts: int) -> DataFrame:
     its position it can't be linked to the head."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = head = limit = last = most = first = rest = None
+        token, last, head = None, 0, [0, 0, 0, 0]  # of the row before this batch; its head's doc_id, n, before, after
         for batch in batches:
+            if not batch.num_rows:
+                continue
             t, d, n, before, after = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            out, near, skip = np.empty(len(t), np.int64), np.zeros(len(t), bool), np.zeros(len(t), bool)
-            near[1:] = (t[1:] == t[:-1]) & (100 * n[:-1].astype(np.int64) >= SHARE * n[1:].astype(np.int64))
-            if len(t):
-                near[0] = t[0] == token and 100 * last >= SHARE * int(n[0])
-                last = int(n[-1])
-            new = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-            for a, b in zip(new.tolist(), np.append(new[1:], len(t)).tolist()):
-                i = a
+            n = n.astype(np.int64)
+            same = np.concatenate([[token is not None and t[0] == token], t[1:] == t[:-1]])
+            near = same & (100 * np.concatenate([[last], n[:-1]]) >= SHARE * n)
+            begin = np.flatnonzero(~same)
+            if same[0]:
+                begin = np.concatenate([[0], begin])
+            end = np.append(begin[1:], len(t))
+            at = np.repeat(begin, end - begin)  # where the row's head is; -1: before this batch
+            blocks = 100 * n[begin] // SHARE < n[end - 1]  # lists of more than one
+            blocks[0] |= same[0]
+            for i, b in zip(begin[blocks].tolist(), end[blocks].tolist()):
+                if same[i]:
+                    i = int(np.searchsorted(n[:b], 100 * head[1] // SHARE, side="right"))
+                    at[:i] = -1
                 while i < b:  # a block at a time
-                    if t[i] != token or n[i] > limit:
-                        token, head, limit = t[i], d[i], 100 * int(n[i]) // SHARE
-                        most, first, rest = int(_level(n[i : i + 1])[0]), before[i], after[i]
-                    j = i + int(np.searchsorted(n[i:b], limit, side="right"))
-                    out[i:j] = head
-                    # the head is the smaller of its block: a link shares its level of dealt hashes at least
-                    skip[i:j] = (d[i:j] != head) & (np.minimum(before[i:j], first) + 1 + np.minimum(after[i:j], rest) < most)
+                    j = i + int(np.searchsorted(n[i:b], 100 * n[i] // SHARE, side="right"))
+                    at[i:j] = i
                     i = j
-            yield pa.RecordBatch.from_pydict({"token": t, "head": out, "doc_id": d, "before": before, "after": after, "near": near, "skip": skip})
+            of = [np.append(x, y)[at] for x, y in zip((d, n, before, after), head)]
+            # the head is the smallest of its block: a link shares its level of dealt hashes at least
+            skip = (d != of[0]) & (np.minimum(before, of[2]) + 1 + np.minimum(after, of[3]) < _level(of[1]))
+            token, last, head = t[-1], int(n[-1]), [int(x[-1]) for x in of]
+            yield pa.RecordBatch.from_pydict({"token": t, "head": of[0], "doc_id": d, "before": before, "after": after, "near": near, "skip": skip})
 
     rows = lists.select("token", "doc_id", "n", "before", "after").repartition(parts, "token").sortWithinPartitions("token", "n", "before", "after", "doc_id")
     return rows.mapInArrow(stream, "token long, head long, doc_id long, before int, after int, near boolean, skip boolean")
