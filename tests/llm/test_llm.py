@@ -407,6 +407,28 @@ def test_plan_is_tight():
     assert plan.sequences() <= 1.02 * sum(x * n for x, n in h.items()) / 2048 + 1
 
 
+def test_whole_copies_are_told_where_they_are_read(spark):
+    """Equal texts under other ids give no runs; what was shuffled for a stage goes with it; shards follow the bytes sent."""
+    r = random.Random(12)
+    base = [" ".join(f"w{r.randint(0, 10**6)}" for _ in range(r.choice([3, 60]))) for _ in range(12)]
+    own = [(i + 100 * c, x) for c in range(5) for i, x in enumerate(base)] + [(1000, base[1][3:] + "?" + base[2]), (1001, None)]
+    docs = spark.createDataFrame(own, "doc_id long, text string")
+    got = rows(suffix_dedup.suffix_dedup(docs).withColumns({"sha": F.sha2("kept", 256), "n_spans": F.size("spans")}), "n_bytes", "n_removed", "n_spans", "sha")
+    assert got == brute.byte_repeats(own)
+    only = spark.sparkContext.broadcast(suffix_dedup.first_ids(docs))
+    found = {x.doc_id for x in suffix_dedup.factors(_repeats.numbered(docs), only=only).collect()}
+    assert not found & {i for i, _ in own if 100 <= i < 1000}
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: files.getAllFiles().mkString(" ").count(".data")
+    before = shuffled()
+    staged, until = _common.stage(docs.repartition(7, "doc_id"), release=True), time.time() + 20
+    while shuffled() > before and time.time() < until:
+        time.sleep(0.1)
+    assert shuffled() <= before and staged.count() == len(own)
+    first = spark.range(3 * suffix_dedup.SHARD // 100).selectExpr("id DIV 1000 AS anchor", "1 AS n", "2 AS kind").unionByName(spark.range(2000).selectExpr("-1L AS anchor", "1 AS n", "2 AS kind"))
+    assert suffix_dedup.shards(first, 100, 2) == 4 and suffix_dedup.shards(first, 100, 9) == 9 and suffix_dedup.shards(first.limit(0), 100, 2) == 2
+
+
 def test_toxicity(spark, empty, labels):
     r = random.Random(4)
     data = [(i, " ".join(r.choice(["fine", "good", "plain", "words"]) + str(r.randint(0, 99)) for _ in range(r.randint(0, 60))) + (" vilexy" + r.choice("abcde") if i % 5 == 1 else ""), "en") for i in range(600)]
