@@ -674,11 +674,16 @@ def cosine_matrix(spark, d):
 
 @query()
 def leader_clusters(spark, d):
-    """Two-level clusters on neighbour pairs within a label (cosine of 0.6 or more)."""
+    """Clusters on neighbour pairs within a label (cosine of 0.6 or more).  Of equal vectors of a label the smallest id stands for
+    all: they are neighbours of the same others, so they go where it goes."""
     e = t(spark, d, "embeddings", "vec_id", "label", "embedding")
-    a, b = e.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("u")), e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("v"))
-    pairs = a.join(b, "label").where(F.col("a") != F.col("b")).where(X.cosine(F.col("u"), F.col("v")) >= 0.6).select("a", "b")
-    return L.leader_clusters(pairs, e, "vec_id")
+    length = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v)
+    fit = F.coalesce(F.col("label").isNotNull() & (length > 0) & (length < float("inf")), F.lit(False))
+    own = e.where(fit)
+    alike = own.groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("w"))
+    led = L.leader_clusters(L.near_pairs(alike, "vec_id", "label", "embedding", 0.6), alike, "vec_id", "w").withColumnRenamed("vec_id", "first")
+    members = own.join(alike.select("label", "embedding", F.col("vec_id").alias("first")), ["label", "embedding"]).select("first", "vec_id")
+    return led.join(members, "first").select("leader", "vec_id").unionByName(e.where(~fit).select(F.col("vec_id").alias("leader"), "vec_id"))
 
 
 # --- metrics and learners ----------------------------------------------------------------------------------------------

@@ -102,6 +102,37 @@ def test_leaders_cover_everyone(spark):
     assert got == {0: 1, 1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
 
 
+def test_leaders_of_vectors_with_copies(spark, tmp_path, monkeypatch):
+    """Against one leader at a time over all pairs; copies are not expanded, and blocks split groups."""
+    import numpy as np
+
+    from lattica import catalog
+
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(9, 6))
+    v = [[float(np.float32(x)) for x in centres[i % 9] + r.normal(0, 0.6, 6)] for i in range(90)]
+    made = [(i, v[i] if i < 90 else v[(i * 7) % 30], (i if i < 90 else (i * 7) % 30) % 2) for i in range(150)] + [(150, [0.0] * 6, 0), (151, v[0], None), (152, None, 0)]
+    spark.createDataFrame(made, "vec_id long, embedding array<float>, label int").repartition(4).write.parquet(f"{tmp_path}/embeddings.parquet")
+    cos = lambda x, y: np.dot(x, y) / np.sqrt(np.dot(x, x) * np.dot(y, y))
+    near = {i: {j for j, y, m in made[:150] if m == k and cos(x, y) >= 0.6} for i, x, k in made[:150]} | {i: {i} for i in (150, 151, 152)}
+    open_, want = set(near), {}
+    while open_:
+        lead = max(open_, key=lambda i: (len(near[i] & open_), -i))
+        want |= {i: lead for i in near[lead] & open_}
+        open_ -= near[lead]
+    seen, plain = [], learners.near_pairs
+
+    def small(*a):
+        out = plain(*a, block=8)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(learners, "near_pairs", small)
+    got = catalog.QUERIES["leader_clusters"](spark, str(tmp_path)).collect()
+    assert len(got) == 153 and {x.vec_id: x.leader for x in got} == want
+    assert seen == [sum(len({j for j in near[i] if j < 90}) - 1 for i in range(90))]
+
+
 def test_bundles_are_whole_or_absent(spark, tmp_path):
     d = spark.createDataFrame([(i, -0.0 if i else 0.0) for i in range(5)], "id long, y double")
     path = str(tmp_path / "b")
