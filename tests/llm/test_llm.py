@@ -441,6 +441,22 @@ def test_toxicity(spark, empty, labels):
     assert {s for _, s, _ in rows(toxicity.score_toxicity(d, own.where("toxic = 0")), "held_out", "score", "predicted").values()} == {0.0}
 
 
+def test_toxicity_learns_from_all_rows_in_parts(spark):
+    """More rows than fit at once: every labelled row counts, in the model and in the thresholds."""
+    r = random.Random(6)
+    data = [(i, " ".join(r.choice(["fine", "good", "plain", "words"]) + str(r.randint(0, 99)) for _ in range(30)) + (f" vilexy{i % 7}" if i % 5 == 1 else ""), "de" if i % 9 == 0 else "en") for i in range(900)]
+    d = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(4)
+    own = spark.createDataFrame([(i, int(i % 5 == 1)) for i in range(900)], "doc_id long, toxic int")
+    n = own.where(~toxicity.held_out()).count()
+    assert toxicity.labelled(d, own).count() == n > 100
+    model, limits = toxicity.fit(d, own, at_once=100)
+    assert set(limits) == {"de", "en"} and not np.array_equal(model.emb, toxicity.fit(d, own.where("doc_id < 450"), at_once=100)[0].emb)
+    got = rows(toxicity.score_toxicity(d, own, at_once=100), "held_out", "predicted", "flag")
+    held = [i for i in range(900) if got[i][0]]
+    assert all(np.mean([got[i][k] == int(i % 5 == 1) for i in held]) > 0.97 for k in (1, 2))
+    assert toxicity.best_step(np.array([5, 1, 0, 4]), np.array([0, 0, 0, 4])) == 0.5 and toxicity.best_step(np.array([3, 2]), np.array([0, 0])) == 0.5
+
+
 def test_language(spark):
     assert Path(DATA).exists()
     pages = spark.read.parquet(f"{DATA}/pages.parquet").unionByName(spark.createDataFrame([(10**6, None, None), (10**6 + 1, "not an address", "")], "page_id long, url string, html string"))
