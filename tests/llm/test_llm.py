@@ -429,6 +429,22 @@ def test_whole_copies_are_told_where_they_are_read(spark):
     assert suffix_dedup.shards(first, 100, 2) == 4 and suffix_dedup.shards(first, 100, 9) == 9 and suffix_dedup.shards(first.limit(0), 100, 2) == 2
 
 
+@pytest.mark.parametrize("collapse", [True, False])
+def test_lines_in_many_texts_send_few_windows(spark, collapse, monkeypatch):
+    """Around a short line that stands in many texts hardly a window repeats: what is sent for it doesn't grow with the texts."""
+    r = random.Random(14)
+    some = lambda n: " ".join(f"{r.randint(0, 10**6):x}" for _ in range(n))
+    lines, long = [some(8) for _ in range(12)], some(40)
+    own = [(i, "\n".join(x for line in lines for x in (some(16), line))) for i in range(30)] + [(30 + i, f"{some(9)}\n{lines[0]}\n{long}\n{some(9)}") for i in range(6)]
+    docs, sent, made = spark.createDataFrame(own, "doc_id long, text string").repartition(3), [], suffix_dedup.contexts
+    monkeypatch.setattr(_repeats, "HOT", 5)
+    monkeypatch.setattr(suffix_dedup, "contexts", lambda *a: sent.append(made(*a)) or sent[-1])
+    got = rows(suffix_dedup.suffix_dedup(docs, collapse=collapse).withColumns({"sha": F.sha2("kept", 256), "n_spans": F.size("spans")}), "n_bytes", "n_removed", "n_spans", "sha")
+    assert got == brute.byte_repeats(own)
+    ids = [x.doc_id for x in sent[0].collect()]
+    assert len([i for i in ids if i < 30]) < 60 and max(ids) >= 30
+
+
 def test_toxicity(spark, empty, labels):
     r = random.Random(4)
     data = [(i, " ".join(r.choice(["fine", "good", "plain", "words"]) + str(r.randint(0, 99)) for _ in range(r.randint(0, 60))) + (" vilexy" + r.choice("abcde") if i % 5 == 1 else ""), "en") for i in range(600)]
