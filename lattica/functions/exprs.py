@@ -93,10 +93,10 @@ def distance(p: Column, q: Column) -> Column:
 
 
 def minimum_distance(positions: Column) -> Column:
-    """Least pair distance of an array of points; infinite below two."""
+    """Least pair distance of an array of points, NaN above all others; infinite where no pair has one."""
     n = F.size(positions)
     each = F.transform(positions, lambda p, i: F.array_min(F.transform(F.slice(positions, i + 2, n), lambda q: distance(p, q))))
-    return F.when(n < 2, F.lit(float("inf"))).otherwise(F.array_min(each))
+    return F.coalesce(F.array_min(each), F.lit(float("inf")))
 
 
 def radius_of_gyration(positions: Column) -> Column:
